@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from quillframe.llm.minhash_dedup import op5_minhash_near_dedup
 from quillframe.llm.suffix_dedup import op2_suffix_array_dedup
 
 QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
