@@ -2,15 +2,16 @@
 
 Every document's shingle set has a signature of ``num_hashes`` coordinates, each the minimum of the set under one
 hash. A document is posted under each (coordinate, value); two documents at the threshold share ``num_hashes *
-threshold`` postings on average, and pairs with fewer than ``min_matches`` are not retained. With the defaults (32, 12)
-a link at exactly 0.8 is missed with probability 2e-8.
+threshold`` postings on average, and pairs with fewer than ``min_matches`` are not retained. With the defaults (32, 14)
+a link at exactly 0.8 is not retained with probability 1e-6.
 
 * Skips: values posted once are dropped, and with them documents left with fewer than ``min_matches`` values.
 * Prefixes: a document with c shared values need only be posted under its c - min_matches + 1 rarest, since two
   documents with min_matches common values have one among those prefixes.
 * Merging: each posting list links its members to one member chosen by a hash of the list, so lists yield as many
-  pairs as members. Retained pairs are confirmed on the full sets; only pairs that remain in different components are
-  then joined member by member.
+  pairs as members. Retained pairs are confirmed on the full sets. Of what is left between different components,
+  lists of up to ``short_list`` members are joined member by member; the members of longer lists (crowds around one
+  text) meet through the rarest fifth of their shingles, which is exact and does not pair a crowd with itself.
 
 Identical sets are one node from the start, whatever their number.
 """
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -167,7 +168,44 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, per_gr
     return dealt.mapInArrow(_confirm(words, percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, num_hashes: int = 32, min_matches: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = column_bytes(batch.column(2))
+            found = list(shingle_sets(data, offs, words))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "comp", "set"])
+
+    return run
+
+
+def _shingle_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of ``members(id, comp)`` in different components that can meet the threshold, by the shingles themselves.
+
+    For crowds around one text, whose members share most coordinates without being near enough. Two sets at the
+    threshold share a shingle among the rarest fifth of each, with enough shingles after it in both: documents with
+    many shingles of their own fall out here, and those near the crowd's centre are in one component already.
+    """
+    sets = materialise(members.join(texts, "id").select("id", "comp", "text").mapInArrow(_sets(words), "id long, comp long, set array<long>"), "crowd")
+    tokens = sets.select("id", F.explode("set").alias("token"))
+    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    ranked = tokens.join(freq, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("held"))
+    size = F.size("held")
+    least = F.ceil(size * percent / 100).cast("int")
+    heads = ranked.select("id", size.alias("n"), F.posexplode(F.slice("held", 1, size - least + 1)).alias("pos", "x"))
+    heads = materialise(heads.where("x.freq > 1").select("id", "n", "pos", F.col("x.token").alias("token")).join(sets.select("id", "comp"), "id"), "crowd-prefixes")
+    per = heads.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("cnt"))
+    major = per.groupBy("token").agg(F.max(F.struct("cnt", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    lists = heads.join(major.select("token", F.col("m.comp").alias("major")), "token")
+    left = lists.where("comp <> major").drop("major")
+    right = lists.select("token", "major", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")])
+    overlap = f"n - pos >= {percent} * (n + n2) / {100 + percent} - 1e-6 and n2 - pos2 >= {percent} * (n + n2) / {100 + percent} - 1e-6"
+    pairs = left.join(right, "token").where(f"comp <> comp2 and (comp2 = major or id < id2) and {overlap}")
+    return pairs.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, num_hashes: int = 32, min_matches: int = 14, short_list: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
     Links join texts whose sets of distinct ``words``-word shingles have a Jaccard similarity of ``percent``/100 or
@@ -207,20 +245,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, num_h
 
     first = materialise(retained(pairs), "hub-pairs")
     texts = materialise(raw.join(held.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
-    best = first.groupBy("v").agg(F.max(F.struct("same", "u")).alias("b")).select("v", F.col("b.u").alias("u"))
-    links = materialise(confirm(best.select("u", "v"), texts, words, percent), "links")
+    order = Window.partitionBy("v").orderBy(F.desc("same"), "u")
+    best = first.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("u", "v")
+    links = materialise(confirm(best, texts, words, percent), "links")
     roots = components(links)
-    # what hub pairs and posting lists still hold between different components
+    # what posting lists still hold between different components
     tagged = lists.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "low", F.coalesce("root", "rep").alias("comp"))
-    split = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    per = tagged.join(split, "key").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("cnt"))
-    major = per.groupBy("key").agg(F.max(F.struct("cnt", "comp")).alias("m")).select("key", F.col("m.comp").alias("major"))
-    open_lists = tagged.join(major, "key")
-    left = open_lists.where("comp <> major").select("key", "rep", "n", "low", "comp")
-    right = open_lists.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "low", "comp")], "major")
-    crossed = left.join(right, "key").where("comp <> comp2 and (comp2 = major or rep < rep2)").where(fits(F.col("low"), F.col("n"), F.col("low2"), F.col("n2")))
-    rest = crossed.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")).distinct()
-    rest = materialise(retained(rest).select("u", "v"), "cross-pairs")
+    split = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "cnt")
+    open_lists = tagged.join(split, "key")
+    short = open_lists.where(F.col("cnt") <= short_list).drop("cnt")
+    other = short.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "low", "comp")])
+    crossed = short.join(other, "key").where("comp <> comp2 and rep < rep2").where(fits(F.col("low"), F.col("n"), F.col("low2"), F.col("n2")))
+    rest = retained(crossed.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()).select("u", "v")
+    crowded = open_lists.where(F.col("cnt") > short_list).select(F.col("rep").alias("id"), "comp").distinct()
+    rest = materialise(rest.union(_shingle_pairs(crowded, texts, words, percent)).distinct(), "cross-pairs")
     more = confirm(rest, texts, words, percent)
     final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "components")
     named = signed.where("n > 0").join(nodes.select("hi", "lo", "rep"), ["hi", "lo"]).join(final.withColumnRenamed("node", "rep"), "rep", "left")
