@@ -6,10 +6,10 @@ threshold`` postings on average, and pairs with fewer than ``min_matches`` are n
 a link at exactly 0.8 is not retained with probability 1e-6.
 
 * Skips: values posted once are dropped, and with them documents left with fewer than ``min_matches`` values.
-* Prefixes: a document with c shared values need only be posted under its c - min_matches + 1 rarest, since two
-  documents with min_matches common values have one among those prefixes.
-* Merging: each posting list links its members to one member chosen by a hash of the list, so lists yield as many
-  pairs as members. Retained pairs are confirmed on the full sets. Of what is left between different components,
+* Prefixes: a document with c shared values need only be posted under its c - min_matches + 2 rarest, since two
+  documents with min_matches common values have two among those prefixes.
+* Merging: each posting list pairs its members with one member, that with the fewest values of its own, so lists
+  yield as many pairs as members. Retained pairs are confirmed on the full sets. Of what is left between different components,
   lists of up to ``short_list`` members are joined member by member; the members of longer lists (crowds around one
   text) meet through the rarest fifth of their shingles, which is exact and does not pair a crowd with itself.
 
@@ -225,40 +225,45 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, num_h
     held = materialise(
         found.join(sized.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("low")), "rep").select(
             "rep", "n", "low",
-            F.transform("held", lambda x: x["key"]).alias("keys"),
-            F.transform(F.slice("held", 1, F.size("held") - (min_matches - 1)), lambda x: x["key"]).alias("prefix"),
+            F.transform("held", lambda x: F.hash(x["key"])).alias("keys"),
+            F.transform(F.slice("held", 1, F.size("held") - (min_matches - 2)), lambda x: x["key"]).alias("prefix"),
         ),
         "prefixes",
     )
-    lists = held.select("rep", "n", "low", F.explode("prefix").alias("key"))
-    rank = F.struct(F.xxhash64("rep", "key").alias("r"), F.col("rep"), F.col("n"), F.col("low"))
-    hubs = lists.groupBy("key").agg(F.min(rank).alias("hub"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+    lists = held.select("rep", "n", "low", F.size("keys").alias("c"), F.explode("prefix").alias("key"))
+    rank = F.struct((-F.col("c")).alias("c"), F.xxhash64("rep").alias("r"), F.col("rep"), F.col("n"), F.col("low"))
+    per_key = lists.groupBy("key").agg(F.min(rank).alias("hub"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+    lists = materialise(lists.join(per_key, "key").select("key", "rep", "n", "low", "cnt", "hub"), "lists")
     fits = lambda a_low, a_n, b_low, b_n: (100 * a_n >= percent * b_low) & (100 * b_n >= percent * a_low)
-    pairs = lists.join(hubs, "key").where(F.col("rep") != F.col("hub.rep")).where(fits(F.col("low"), F.col("n"), F.col("hub.low"), F.col("hub.n")))
-    pairs = pairs.select(F.col("rep").alias("v"), F.col("hub.rep").alias("u")).distinct()
     keys = held.select("rep", "keys")
 
     def retained(p: DataFrame) -> DataFrame:
-        """Pairs with enough collisions, counted over all coordinates."""
-        both = p.join(keys.select(F.col("rep").alias("v"), F.col("keys").alias("kv")), "v").join(keys.select(F.col("rep").alias("u"), F.col("keys").alias("ku")), "u")
-        return both.withColumn("same", F.size(F.array_intersect("ku", "kv"))).where(F.col("same") >= min_matches).drop("ku", "kv")
+        """Pairs that meet in two lists or more and have enough collisions over all coordinates."""
+        twice = p.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+        both = twice.join(keys.select(F.col("rep").alias("v"), F.col("keys").alias("kv")), "v").join(keys.select(F.col("rep").alias("u"), F.col("keys").alias("ku")), "u")
+        return both.withColumn("same", F.size(F.array_intersect("ku", "kv"))).where(F.col("same") >= min_matches).select("u", "v", "same")
 
-    first = materialise(retained(pairs), "hub-pairs")
-    texts = materialise(raw.join(held.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    to_hub = lists.where(F.col("rep") != F.col("hub.rep")).where(fits(F.col("low"), F.col("n"), F.col("hub.low"), F.col("hub.n")))
     order = Window.partitionBy("v").orderBy(F.desc("same"), "u")
-    best = first.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("u", "v")
-    links = materialise(confirm(best, texts, words, percent), "links")
+    first = retained(to_hub.select(F.col("hub.rep").alias("u"), F.col("rep").alias("v")))
+    first = materialise(first.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("u", "v"), "hub-pairs")
+    short = lists.where(F.col("cnt") <= short_list).select("key", "rep", "n", "low")
+    other = short.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "low")])
+    met = short.join(other, "key").where(F.col("rep") < F.col("rep2")).where(fits(F.col("low"), F.col("n"), F.col("low2"), F.col("n2")))
+    near = materialise(retained(met.select(F.col("rep").alias("u"), F.col("rep2").alias("v"))).select("u", "v"), "list-pairs")
+    crowded = lists.where(F.col("cnt") > short_list).select("key", F.col("rep").alias("id"))
+    wanted = crowded.select("id")
+    for p in (first, near):
+        wanted = wanted.union(p.select(F.explode(F.array("u", "v"))))
+    texts = materialise(raw.join(wanted.distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    links = materialise(confirm(first, texts, words, percent), "links")
     roots = components(links)
-    # what posting lists still hold between different components
-    tagged = lists.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "low", F.coalesce("root", "rep").alias("comp"))
-    split = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "cnt")
-    open_lists = tagged.join(split, "key")
-    short = open_lists.where(F.col("cnt") <= short_list).drop("cnt")
-    other = short.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "low", "comp")])
-    crossed = short.join(other, "key").where("comp <> comp2 and rep < rep2").where(fits(F.col("low"), F.col("n"), F.col("low2"), F.col("n2")))
-    rest = retained(crossed.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()).select("u", "v")
-    crowded = open_lists.where(F.col("cnt") > short_list).select(F.col("rep").alias("id"), "comp").distinct()
-    rest = materialise(rest.union(_shingle_pairs(crowded, texts, words, percent)).distinct(), "cross-pairs")
+    root = lambda name, as_: roots.select(F.col("node").alias(name), F.col("root").alias(as_))
+    rest = near.join(root("u", "ru"), "u", "left").join(root("v", "rv"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    tagged = crowded.join(root("id", "r"), "id", "left").select("key", "id", F.coalesce("r", "id").alias("comp"))
+    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    crowd = tagged.join(mixed, "key").select("id", "comp").distinct()
+    rest = materialise(rest.union(_shingle_pairs(crowd, texts, words, percent)).distinct(), "cross-pairs")
     more = confirm(rest, texts, words, percent)
     final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "components")
     named = signed.where("n > 0").join(nodes.select("hi", "lo", "rep"), ["hi", "lo"]).join(final.withColumnRenamed("node", "rep"), "rep", "left")
