@@ -180,29 +180,43 @@ def _sets(words: int):
     return run
 
 
-def _shingle_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs of ``members(id, comp)`` in different components that can meet the threshold, by the shingles themselves.
+def _with_root(df: DataFrame, roots: DataFrame, name: str, as_: str) -> DataFrame:
+    return df.join(roots.select(F.col("node").alias(name), F.col("root").alias("__qf_r")), name, "left").withColumn(as_, F.coalesce("__qf_r", name)).drop("__qf_r")
 
-    For crowds around one text, whose members share most coordinates without being near enough. Two sets at the
-    threshold share a shingle among the rarest fifth of each, with enough shingles after it in both: documents with
-    many shingles of their own fall out here, and those near the crowd's centre are in one component already.
+
+def _shingle_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For crowds around one text, whose members share most coordinates without being near enough: new components,
+    and the pairs of ``members(id)`` that can meet the threshold and still are in different ones.
+
+    Two sets at the threshold share a shingle among the rarest fifth of each, with enough shingles after it in both,
+    so documents with many shingles of their own fall out. Each shingle's list is first linked to its member with the
+    fewest such shingles, so that hardly any pairs are left to join.
     """
-    sets = materialise(members.join(texts, "id").select("id", "comp", "text").mapInArrow(_sets(words), "id long, comp long, set array<long>"), "crowd")
+    sets = materialise(members.join(texts, "id").select("id", F.lit(0).cast("long").alias("comp"), "text").mapInArrow(_sets(words), "id long, comp long, set array<long>"), "crowd")
     tokens = sets.select("id", F.explode("set").alias("token"))
     freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     ranked = tokens.join(freq, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("held"))
     size = F.size("held")
     least = F.ceil(size * percent / 100).cast("int")
-    heads = ranked.select("id", size.alias("n"), F.posexplode(F.slice("held", 1, size - least + 1)).alias("pos", "x"))
-    heads = materialise(heads.where("x.freq > 1").select("id", "n", "pos", F.col("x.token").alias("token")).join(sets.select("id", "comp"), "id"), "crowd-prefixes")
-    per = heads.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("cnt"))
+    own = F.size(F.filter("held", lambda x: x["freq"] == 1)) / size
+    heads = ranked.select("id", size.alias("n"), own.alias("own"), F.posexplode(F.slice("held", 1, size - least + 1)).alias("pos", "x"))
+    heads = materialise(heads.where("x.freq > 1").select("id", "n", "own", "pos", F.col("x.token").alias("token")), "crowd-prefixes")
+    overlap = f"n - pos >= {percent} * (n + n2) / {100 + percent} - 1e-6 and n2 - pos2 >= {percent} * (n + n2) / {100 + percent} - 1e-6"
+    hub = heads.groupBy("token").agg(F.min(F.struct("own", F.xxhash64("id"), "id", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+    hub = hub.select("token", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"))
+    to_hub = heads.join(hub, "token").where("id <> id2").where(overlap).groupBy(F.col("id2").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("met"))
+    to_hub = _with_root(_with_root(to_hub, roots, "u", "ru"), roots, "v", "rv").where("ru <> rv")
+    best = to_hub.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("met"), "u"))).where("rank <= 3").select("u", "v")
+    links = confirm(materialise(best, "crowd-hubs"), texts, words, percent)
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
+    tagged = materialise(_with_root(heads.drop("own"), roots, "id", "comp"), "crowd-lists")
+    per = tagged.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("cnt"))
     major = per.groupBy("token").agg(F.max(F.struct("cnt", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    lists = heads.join(major.select("token", F.col("m.comp").alias("major")), "token")
+    lists = tagged.join(major.select("token", F.col("m.comp").alias("major")), "token")
     left = lists.where("comp <> major").drop("major")
     right = lists.select("token", "major", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")])
-    overlap = f"n - pos >= {percent} * (n + n2) / {100 + percent} - 1e-6 and n2 - pos2 >= {percent} * (n + n2) / {100 + percent} - 1e-6"
     pairs = left.join(right, "token").where(f"comp <> comp2 and (comp2 = major or id < id2) and {overlap}")
-    return pairs.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct()
+    return roots, pairs.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, num_hashes: int = 32, min_matches: int = 14, short_list: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,13 +272,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, num_h
     texts = materialise(raw.join(wanted.distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
     links = materialise(confirm(first, texts, words, percent), "links")
     roots = components(links)
-    root = lambda name, as_: roots.select(F.col("node").alias(name), F.col("root").alias(as_))
-    rest = near.join(root("u", "ru"), "u", "left").join(root("v", "rv"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    tagged = crowded.join(root("id", "r"), "id", "left").select("key", "id", F.coalesce("r", "id").alias("comp"))
+    tagged = _with_root(crowded, roots, "id", "comp")
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    crowd = tagged.join(mixed, "key").select("id", "comp").distinct()
-    rest = materialise(rest.union(_shingle_pairs(crowd, texts, words, percent)).distinct(), "cross-pairs")
-    more = confirm(rest, texts, words, percent)
+    crowd = tagged.join(mixed, "key").select("id").distinct()
+    roots, rest = _shingle_pairs(crowd, roots, texts, words, percent)
+    near = _with_root(_with_root(near, roots, "u", "ru"), roots, "v", "rv").where("ru <> rv").select("u", "v")
+    more = confirm(materialise(near.union(rest).distinct(), "cross-pairs"), texts, words, percent)
     final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "components")
     named = signed.where("n > 0").join(nodes.select("hi", "lo", "rep"), ["hi", "lo"]).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("id", "n", F.coalesce("root", "rep").alias("component_id"))
