@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from quillframe.llm.minhash_dedup import op5_minhash_near_dedup
 from quillframe.llm.packing import op10_mixture_packing
+from quillframe.llm.quality_rules import op3_quality_rules
 from quillframe.llm.suffix_dedup import op2_suffix_array_dedup
 from quillframe.llm.token_counts import op1_token_counts
 from quillframe.llm.token_files import op9_token_files
+from quillframe.llm.url_filters import OP7_SQL, op7_url_reputation
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_url_reputation": op7_url_reputation,
     "op9_token_files": op9_token_files,
     "op10_mixture_packing": op10_mixture_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_reputation": OP7_SQL,
+}

@@ -1,6 +1,6 @@
 """Token ids in Arrow files of equal-length sequences.
 
-Each file holds record batches of two fixed-size lists, ``ids`` and ``mask`` (1 where an id is real); sequence k lies
+Each file holds record batches of two fixed-size lists, ``ids`` and ``mask`` (true where an id is real); sequence k lies
 at a computable place, so a reader maps the file and takes it without copying. The last sequence of a file is padded.
 A second Arrow file beside it lists each document's place. Documents lie in ascending id order over all files.
 """
@@ -32,13 +32,13 @@ class SequenceWriter:
     def __init__(self, uri: str, dtype: np.dtype, length: int):
         self.dtype, self.length, self.held, self.size, self.total = dtype, length, [], 0, 0
         value = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = create(uri)
         self.writer = pa.ipc.new_file(self.out, self.schema)
 
     def _emit(self, flat: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
+        mask = np.zeros(len(flat), bool)
+        mask[:real] = True
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -105,13 +105,13 @@ def write_tokens(docs: DataFrame, *, vocabulary: str, end_id: int, length: int =
     return materialise(dealt.mapInArrow(_write(work_dir(spark, "token-files"), vocabulary, end_id, length), _MANIFEST), "token-manifest")
 
 
-def sequence(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``k`` of a token file and its mask: two views into the mapped file."""
+def sequence(path: str, k: int) -> tuple[pa.Array, pa.Array]:
+    """Sequence ``k`` of a token file and its mask (one bit an id): two Arrow views into the mapped file."""
     with pa.ipc.open_file(opened(path)) as reader:
         batch = reader.get_batch(k // BATCH)
         length = batch.schema.field("ids").type.list_size
         at = k % BATCH * length
-        return tuple(batch.column(c).flatten().to_numpy()[at : at + length] for c in range(2))
+        return tuple(batch.column(c).flatten().slice(at, length) for c in range(2))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +126,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
                     while base + len(tail) < s + n:
                         b = reader.get_batch(got)
-                        ids, mask = (b.column(c).flatten().to_numpy() for c in range(2))
-                        more = ids[: int(mask.sum(dtype=np.int64))].astype("<u4")
+                        ids, mask = (b.column(c).flatten() for c in range(2))
+                        more = ids.to_numpy()[: mask.true_count].astype("<u4")
                         tail, base = np.concatenate((tail[s - base :], more)), s
                         got += 1
                     crc.append(zlib.crc32(tail[s - base : s - base + n]))
