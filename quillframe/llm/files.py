@@ -23,7 +23,7 @@ def fresh(directory: str, stem: str, suffix: str) -> str:
 def create(uri: str):
     fs, path = located(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def opened(uri: str):
