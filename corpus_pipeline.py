@@ -25,10 +25,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 200 that a document with a smaller id has too are cut; a character cut in two goes whole.
+    """Strings of 50 bytes that a document with a smaller id has too are cut; a character cut in two goes whole.
     Texts with nothing left go."""
-    done = remove_repeats(docs, min_len=128)
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.regexp_replace(F.decode(F.col("kept_bytes"), F.lit("UTF-8")), "�", ""))
+    done = remove_repeats(docs)
+    kept = F.regexp_replace(F.make_valid_utf8(F.col("kept_bytes").cast("string")), "\ufffd", "")
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(kept)
     return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).where("text is null or length(text) > 0").select(*docs.columns)
 
 

@@ -68,25 +68,35 @@ def edit_distance_within(pattern: bytes, text: bytes, most: int) -> tuple[int, i
     return best, end
 
 
+_BITS: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _steps(walks: int, length: int) -> np.ndarray:
+    """Bit per (step, walk, letter): whether the walk moves on after reading that letter. Made once per worker."""
+    if (walks, length) not in _BITS:
+        seed = mix64(np.arange(1, walks + 1, dtype=np.uint64) * MIX_B)[None, :, None]
+        letter = np.arange(256, dtype=np.uint64)[None, None, :] * MIX_A
+        step = mix64(np.arange(1, length + 1, dtype=np.uint64) * MIX_A)[:, None, None]
+        _BITS[walks, length] = (mix64((seed + letter) ^ step) >> np.uint64(63)).astype(np.uint8)
+    return _BITS[walks, length]
+
+
 def cgk(windows: np.ndarray, sizes: np.ndarray, walks: int) -> np.ndarray:
-    """Embeddings of padded byte rows: (rows, walks, 3 * width) of bytes; rows past their end give 0."""
+    """Embeddings of padded byte rows, (rows, walks, 2 * width): that part of the 3 * width steps which is sampled.
+    A walk past the row's end reads 0."""
     n, width = windows.shape
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint8)], 1)
+    padded[np.arange(n), sizes] = 0
+    bits = _steps(walks, 2 * width)
     at = np.zeros((n, walks), np.int64)
-    row = np.arange(n)[:, None]
-    seeds = mix64(np.arange(1, walks + 1, dtype=np.uint64) * MIX_B)[None, :, None]
-    letters = np.arange(256, dtype=np.uint64)[None, None, :]
-    out = np.empty((n, walks, 3 * width), np.uint8)
-    each = np.arange(walks)[None, :]
-    last = sizes[:, None]
-    steps = mix64(np.arange(1, 3 * width + 1, dtype=np.uint64) * MIX_A)
-    for j in range(3 * width):
-        bits = (mix64((seeds + letters * MIX_A) ^ steps[j]) >> np.uint64(63)).astype(np.int64)[0]
-        c = padded[row, np.minimum(at, width)]
-        c = np.where(at < last, c, 0)
-        out[:, :, j] = c
-        at = np.where(at < last, at + bits[each, c], at)
-    return out
+    row, each, last = np.arange(n)[:, None], np.arange(walks)[None, :], sizes[:, None]
+    out = np.empty((2 * width, n, walks), np.uint8)
+    for j in range(2 * width):
+        c = padded[row, at]
+        out[j] = c
+        at += bits[j][each, c]
+        np.minimum(at, last, out=at)
+    return np.moveaxis(out, 0, 2)
 
 
 def _samples(width: int, walks: int, tables: int, samples: int) -> np.ndarray:
@@ -112,8 +122,13 @@ class Items:
         self.key, self.item, self.place = key[order], item[order], place[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        spans = sorted({(len(b) + e, int(n)) for b, e, n in zip(self.bytes, self.most, self.need, strict=True)})
-        self.spans = [(w, min(n for v, n in spans if v >= w)) for w, _ in spans]
+        # few width classes: the largest width and the smallest need of items of about one size
+        self.spans: list[tuple[int, int]] = []
+        sized = sorted((len(b) + e, int(n)) for b, e, n in zip(self.bytes, self.most, self.need, strict=True))
+        while sized:
+            inside = [x for x in sized if x[0] <= 1.3 * sized[0][0]]
+            self.spans.append((inside[-1][0], min(n for _, n in inside)))
+            sized = sized[len(inside) :]
         self._held: dict[int, np.ndarray] = {}
 
     def tables(self, k: int) -> np.ndarray:
@@ -186,9 +201,13 @@ def matches(items: Items, texts: list[np.ndarray]) -> list[tuple[int, int, int,
         by_item.setdefault(k, []).append((t, a, z))
     for k, places in by_item.items():
         m, e = len(items.bytes[k]), items.most[k]
-        rows, owner = [], []
+        rows, owner, passed = [], [], set()
+        pattern = items.bytes[k].tobytes()
         for p, (t, a, z) in enumerate(places):
             b = texts[t]
+            if pattern in b[max(0, a - e) : z + m + e].tobytes():  # equal strings have equal embeddings
+                passed.add(p)
+                continue
             lo, hi = max(0, a - e), min(max(len(b) - m + e, 0), z + e)
             starts = {max(0, min(a, len(b) - 1)), max(0, min(z, len(b) - 1)), lo}
             starts |= {x + 1 for x in (np.flatnonzero(b[lo : hi + 1] == 32) + lo).tolist()}
@@ -197,10 +216,7 @@ def matches(items: Items, texts: list[np.ndarray]) -> list[tuple[int, int, int,
                 if len(w):
                     rows.append(w)
                     owner.append(p)
-        if not rows:
-            continue
-        pattern, own = items.bytes[k].tobytes(), items.tables(k)
-        passed: set[int] = set()
+        own = items.tables(k) if rows else None
         for i in range(0, len(rows), 512):
             some = rows[i : i + 512]
             sizes = np.array([len(w) for w in some])

@@ -148,13 +148,12 @@ def score(docs: DataFrame, *, keep_at: float = 0.5, rules: dict | None = None, i
 
 
 def keep_good(docs: DataFrame, *, keep_at: float = 0.5, rules: dict | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns; figures are measured again rather than joined, so rows
-    need no key."""
+    """The rows of ``docs`` that pass, with all their columns; rows are written with their figures, so that they need no
+    key and nothing is measured twice."""
     rules = rules or RULES
-    mark = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    share, model = _fitted(figures(packed, "text").select(*mark), rules)
-    measured = figures(packed, "text", [F.col("row")])
+    measured = materialise(figures(packed, "text", [F.col("row")]), "measured")
+    share, model = _fitted(measured, rules)
     p = _posterior_column(share, model, [rule() for rule in rules.values()])
     return measured.where(~base_failed() & (p >= keep_at)).select("row.*")
 
