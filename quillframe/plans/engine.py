@@ -109,6 +109,16 @@ class Engine:
         checked = model.plan(plan)
         return self.run_steps(checked, Limits.of(checked.get("limits"), enforce=False), False)[1][-1].data.frame
 
+    def over(self, tables: dict[str, Frame], steps: list[dict]) -> Frame:
+        """Steps over frames that are at hand, compiled lazily; how a program uses plans on tables of its own."""
+        data, last = {name: Data("table", f) for name, f in tables.items()}, None
+        for i, raw in enumerate(steps):
+            step = model.checked(model.step, raw, "the step is invalid")
+            last = step.get("id") or f"step_{i + 1}"
+            need(last not in data, "E_DUPLICATE_ID", f"{last!r} is taken", id=last)
+            data[last] = self.apply(step, data, f"step_{i}" if i and "id" not in steps[i - 1] else (steps[i - 1]["id"] if i else None), list(tables))[1]
+        return data[last].frame
+
     def query(self, plan: dict, ordered: bool = False) -> DataFrame:
         """The last step's rows."""
         frame = self.frame(plan)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import copy
 
+import pandas as pd
+from pyspark.sql.functions import pandas_udf
+
 from quillframe.errors import PlanError, need
 from quillframe.functions.kinds import normalised
 from quillframe.operators.shapes import escaped, split_name
@@ -154,9 +157,6 @@ def changes(old, new) -> dict:
 
 def edited_column(column, steps: list[dict]):
     """A string column of JSON documents with tree steps applied to each, in Arrow batches; null stays null."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def edit(texts: pd.Series) -> pd.Series:
         def one(t):
