@@ -124,7 +124,7 @@ class Items:
         self.filter[(self.key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         # few width classes: the largest width and the smallest need of items of about one size
         self.spans: list[tuple[int, int]] = []
-        sized = sorted((len(b) + e, int(n)) for b, e, n in zip(self.bytes, self.most, self.need, strict=True))
+        sized = sorted((len(b) + e, int(n)) for b, e, n in zip(self.bytes, self.most, self.need[: len(self.bytes)], strict=True))
         while sized:
             inside = [x for x in sized if x[0] <= 1.3 * sized[0][0]]
             self.spans.append((inside[-1][0], min(n for _, n in inside)))

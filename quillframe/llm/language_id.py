@@ -149,10 +149,15 @@ def identify(docs: DataFrame, *, learn_from, per_language: int = 1000, max_langu
     """
     raw = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(learn_from, F.lit(False)).alias("learn"))
     usable = raw.where("learn and lang is not null and text is not null")
-    frequent = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    frequent = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    # a hash thins each label to about twice its share first, so that only the sample's texts are shuffled
+    drawn = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40))
+    thin = F.lit(False)
+    for name, n in frequent.items():
+        thin = thin | ((F.col("lang") == name) & (drawn < F.lit(min(1 << 40, (2 * per_language << 40) // n))))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), F.xxhash64("text"))
-    chosen = usable.where(F.col("lang").isin(frequent)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    sample = []
+    chosen = usable.where(thin).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    sample: list = []
     for row in chosen.select("lang", "text").mapInArrow(_sampled, "lang string, at binary, share binary").collect() if frequent else []:
         x = np.zeros(1 << BITS, np.float32)
         x[np.frombuffer(row["at"], "<u2")] = np.frombuffer(row["share"], np.float32)

@@ -82,7 +82,7 @@ RULES = {
     "clean_prose": lambda: F.when(_clean(), 1),
 }
 #: Prior pseudo-documents of a rule's outcomes (votes bad, votes good, abstains) on good and on bad documents.
-PRIOR = ((1.0, 3.0, 16.0), (8.0, 1.0, 11.0))
+PRIOR = ((0.4, 6.0, 13.6), (8.0, 0.4, 11.6))
 
 
 def fit(patterns: list[tuple[tuple, int]], *, rounds: int = 200) -> tuple[float, list[tuple]]:
