@@ -294,3 +294,18 @@ def keep_first_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) ->
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, words=2)
+
+
+OP5_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') as w from documents),
+shingles as (
+  select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as s from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * shared.n >= 80 * (p.n + q.n - shared.n)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id as x, doc_id as y from documents union select reach.x, both_ways.y from reach join both_ways on reach.y = both_ways.x),
+roots as (select x, min(y) as component_id from reach group by x)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from documents left join sizes using (doc_id) join roots on x = doc_id
+"""

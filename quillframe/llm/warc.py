@@ -228,3 +228,20 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 def op4_warc_segments(spark, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
+
+
+OP4_SQL = r"""
+with bits as (
+  select page_id, coalesce(html, '') as body,
+    array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', c)]), '') as b
+  from pages),
+named as (
+  select page_id, octet_length(encode(body)) as n, b,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + 16 * cast(substr(b, 5 * i + 1, 1) as int) + 8 * cast(substr(b, 5 * i + 2, 1) as int) + 4 * cast(substr(b, 5 * i + 3, 1) as int) + 2 * cast(substr(b, 5 * i + 4, 1) as int) + cast(substr(b, 5 * i + 5, 1) as int), 1)), '') as digest
+  from bits)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+  case when page_id = max(page_id) over (partition by digest) then 'response' else 'revisit' end as record_type,
+  case when page_id < max(page_id) over (partition by digest) then max(page_id) over (partition by digest) end as refers_to
+from named
+"""
