@@ -36,7 +36,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * MIX_A)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
