@@ -18,6 +18,9 @@ import numpy as np
 PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^ \t\n\rA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
 #: Outside these ranges a text is encoded whole.
 _OTHER = re.compile("[^\t\n\r -~¡-©«¬®-±´¶-¸»¿-ɏ‐-‧‰-⁞₠-₿]")
+#: One space, then none: such pre-tokens stay apart when joined.
+_SPACED = re.compile(r" [^\s]").match
+RUN = 128
 CACHE_ENTRIES = 250_000
 
 
@@ -35,6 +38,9 @@ class Encoder:
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True  # byte-level for a space
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -46,7 +52,18 @@ class Encoder:
         return self.by_piece and not _OTHER.search(text) and not any(a in text for a in self.added)
 
     def _learn(self, missing: list[str]) -> None:
-        for word, got in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+        """Encode pre-tokens. Those that open with a space go to the library in runs, one call for ``RUN`` of them: it
+        cuts a run before each space, and only the first id of such a pre-token opens with one."""
+        spaced = [w for w in missing if _SPACED(w)]
+        runs = [spaced[i : i + RUN] for i in range(0, len(spaced), RUN)]
+        for run, got in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.dtype)
+            at = np.flatnonzero(self.opens[ids]) * self.dtype.itemsize
+            whole, ends = ids.tobytes(), [*at[1:].tolist(), ids.nbytes]
+            for word, a, z in zip(run, at.tolist(), ends, strict=True):
+                self.cache[word] = whole[a:z]
+        rest = [w for w in missing if not _SPACED(w)]
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.cache[word] = array(self.code, got.ids).tobytes()
 
     def pieces(self, words: list[str]) -> list[bytes]:
