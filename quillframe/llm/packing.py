@@ -158,8 +158,7 @@ def pack(docs: DataFrame, *, vocabulary: str, end_id: int = 0, length: int = 102
     else:
         given = F.create_map(*[F.lit(x) for kv in shares.items() for x in (kv[0], float(kv[1]))]) if shares else F.create_map()
         weights = totals.withColumn("weight", F.coalesce(F.element_at(given, F.coalesce("source", F.lit(""))), F.lit(0.0)) + 1e-9)
-    whole = weights.agg(F.sum("weight").alias("w"))
-    weights = weights.crossJoin(F.broadcast(whole)).select("source", (F.col("weight") / F.col("w")).alias("weight"))  # one row
+    weights = weights.select("source", (F.col("weight") / weights.agg(F.sum("weight")).scalar()).alias("weight"))
     ordered = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = parts.groupBy("part", "path").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ordered), F.lit(0)))
     mine = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -47,10 +47,9 @@ def reputations(outcomes: DataFrame, *, strength: float = 10.0, z: float = 1.0)
     hosts = hosts.withColumn("domain", registered_of(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
-    every = suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("an"), F.coalesce(F.sum("sk"), F.lit(0)).alias("ak"))  # one row
-    up = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix").crossJoin(F.broadcast(every))
-    base = (F.col("ak") + 1.0) / (F.col("an") + 2.0)
-    of_suffix = (F.col("sk") + strength * base) / (F.col("sn") + strength)
+    base = suffixes.agg((F.coalesce(F.sum("sk"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2.0)).scalar()
+    up = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix").withColumn("base", base)
+    of_suffix = (F.col("sk") + strength * F.col("base")) / (F.col("sn") + strength)
     of_domain = (F.col("dk") + strength * of_suffix) / (F.col("dn") + strength)
     a = F.col("k") + strength * of_domain
     b = F.col("n") - F.col("k") + strength * (1.0 - of_domain)
