@@ -2,12 +2,16 @@
 
 Each source is a queue of documents. Every window of ``length`` tokens is filled source by source: a source earns its
 target share of the window, spends what it has earned on tokens of its queue, and carries the rest (its deficit) to
-the next window. Partitions carry too: a partition starts with what each source was owed after all partitions before
-it, known from per-partition totals. All tokens are placed; shares of exhausted sources go to the others.
+the next window. All tokens are placed; shares of exhausted sources go to the others.
+
+Packing tasks do not go by the partitions as read. A task packs one run of windows of the whole mixture, and takes from
+each source's queue, which runs over all partitions, the tokens that lie in that run by the targets (``apportioned``).
+So every task holds every source until that is used up everywhere, however the documents lie.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from array import array
 from collections import deque
@@ -24,38 +28,90 @@ from quillframe.llm.encoding import encoder
 from quillframe.llm.files import create, fresh, opened
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("ids", pa.large_binary())])
-_PARTS = "part long, path string, source string, n_tokens long"
+_PARTS = "part long, batch long, path string, source string, n_tokens long"
+_DEALT = "task long, path string, batch long, source string, before long"
+_BATCH_TOKENS = 1 << 17
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, padded_length long"
 
 
 def _tokenise(directory: str, vocabulary: str, end_id: int, file_tokens: int):
+    """Files of about ``file_tokens`` ids whose record batches hold one source each; a row for each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(vocabulary), TaskContext.get().partitionId()
-        end, k, out, writer, totals = np.array([end_id], enc.dtype).tobytes(), 0, None, None, {}
+        end, k, held, n = np.array([end_id], enc.dtype).tobytes(), 0, {}, 0
+
+        def written() -> pa.RecordBatch:
+            path, totals = fresh(directory, f"ids-{task:08d}-{k:06d}", ".arrow"), []
+            with create(path) as out, pa.ipc.new_file(out, _TOKENS.with_metadata({"ids": enc.dtype.str})) as writer:
+                for s, docs in held.items():
+                    sizes = np.array([len(x) // enc.dtype.itemsize for _, x in docs])
+                    group = (np.cumsum(sizes) - sizes) // _BATCH_TOKENS
+                    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(docs)]
+                    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                        ids = pa.array([x for _, x in docs[a:z]], pa.large_binary())
+                        writer.write_batch(pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs[a:z]], pa.int64()), pa.array([s] * (z - a), pa.string()), ids], schema=_TOKENS))
+                        totals.append((s, int(sizes[a:z].sum())))
+            m = len(totals)
+            return pa.RecordBatch.from_arrays([pa.array([task << 20 | k] * m, pa.int64()), pa.array(range(m), pa.int64()), pa.array([path] * m), pa.array([s for s, _ in totals], pa.string()), pa.array([t for _, t in totals], pa.int64())], names=["part", "batch", "path", "source", "n_tokens"])
+
+        for batch in batches:
+            docs, sources = batch.column(0).cast(pa.int64()).to_pylist(), batch.column(2).to_pylist()
+            for i, s, t in zip(docs, sources, batch.column(1), strict=True):
+                x = enc.encode(t.as_py()) + end
+                held.setdefault(s, []).append((i, x))
+                n += len(x) // enc.dtype.itemsize
+                if n >= file_tokens:
+                    yield written()
+                    k, held, n = k + 1, {}, 0
+        if held:
+            yield written()
+
+    return run
+
+
+def apportioned(totals: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """How many of the first ``n`` tokens of the mixture are each source's: token t of a source stands at
+    (t + 1/2) / weight, and the n first are taken, so that counts add up to ``n`` and never fall as ``n`` grows."""
+    if n >= totals.sum():
+        return totals.copy()
+    ends = totals / weights
+    order = np.argsort(ends, kind="stable")
+    t, w = totals[order], weights[order]
+    done, alive = np.cumsum(t) - t, np.cumsum(w[::-1])[::-1]
+    k = min(int(np.searchsorted(done + alive * ends[order], n)), len(t) - 1)
+    got = np.minimum(totals, np.floor(weights * ((n - done[k]) / alive[k]) + 0.5).astype(np.int64))
+    while True:  # rounding is off by a few tokens
+        after = np.where(got < totals, (got + 0.5) / weights, np.inf)
+        last = np.where(got > 0, (got - 0.5) / weights, -np.inf)
+        i, j, off = int(after.argmin()), len(last) - 1 - int(last[::-1].argmax()), n - int(got.sum())
+        if off < 0 or (off == 0 and (after[i], i) < (last[j], j)):
+            got[j] -= 1
+        if off > 0 or (off == 0 and (after[i], i) < (last[j], j)):
+            got[i] += 1
+        elif off == 0:
+            return got
+
+
+def _dealt(sources: list, totals: np.ndarray, weights: np.ndarray, span: int):
+    """Sends each batch to every task of ``span`` tokens that may take some of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {s: k for k, s in enumerate(sources)}
+        most = max(0, int(totals.sum()) - 1) // span
 
-        def closed() -> pa.RecordBatch:
-            writer.close()
-            out.close()
-            n = len(totals)
-            return pa.RecordBatch.from_arrays([pa.array([task << 20 | k] * n, pa.int64()), pa.array([path] * n), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["part", "path", "source", "n_tokens"])
+        def place(s: str | None, t: int) -> float:
+            return float(np.minimum(totals, weights * ((t + 0.5) / weights[at[s]])).sum())
 
         for batch in batches:
-            sources, ids = batch.column(2).to_pylist(), []
-            for at in range(0, batch.num_rows, 512):
-                if writer is None:
-                    path = fresh(directory, f"ids-{task:08d}-{k:06d}", ".arrow")
-                    out = create(path)
-                    writer = pa.ipc.new_file(out, _TOKENS.with_metadata({"ids": enc.dtype.str}))
-                some = batch.slice(at, 512)
-                ids = [enc.encode(t.as_py()) + end for t in some.column(1)]
-                for s, x in zip(sources[at : at + 512], ids, strict=True):
-                    totals[s] = totals.get(s, 0) + len(x) // enc.dtype.itemsize
-                writer.write_batch(pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), some.column(2).cast(pa.string()), pa.array(ids, pa.large_binary())], schema=_TOKENS))
-                if sum(totals.values()) >= file_tokens:
-                    yield closed()
-                    k, out, writer, totals = k + 1, None, None, {}
-        if writer is not None:
-            yield closed()
+            rows = []
+            for r in batch.to_pylist():
+                a, z = place(r["source"], r["before"]), place(r["source"], r["before"] + r["n_tokens"] - 1)
+                slack = len(sources) + 2 + 1e-9 * z  # what rounding may shift a token by; tasks cut exactly
+                for task in range(max(0, int((a - slack) // span)), min(most, int((z + slack) // span)) + 1):
+                    rows.append((task, r["path"], r["batch"], r["source"], r["before"]))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["task", "path", "batch", "source", "before"])
 
     return run
 
@@ -100,40 +156,59 @@ def deal(queues: dict, weights: dict, deficits: dict, length: int, quantum: int)
                 deficits[x] += weights[x] / share * length
 
 
-def _pack(length: int, quantum: int):
+def _queued(batches: list[dict], low: dict, high: dict) -> tuple[dict, list, np.dtype]:
+    """Queues of ``(document, tokens)`` for ``deal`` of each source's tokens from ``low`` to ``high``, and the documents:
+    ``(doc_id, first token here, all its tokens, ids here)``. Ids are copied, so that one file is open at a time."""
+    found: dict = {}
+    kind = np.dtype("<u4")
+    for path, group in itertools.groupby(sorted(batches, key=lambda x: (x["path"], x["batch"])), key=lambda x: x["path"]):
+        with opened(path) as f:
+            reader = pa.ipc.open_file(f)
+            kind = np.dtype(reader.schema.metadata[b"ids"].decode())
+            for x in group:
+                s, at = x["source"], x["before"]
+                if at >= high[s]:
+                    continue
+                table = reader.get_batch(x["batch"])
+                for i, ids in zip(table.column(0).to_pylist(), table.column(2), strict=True):
+                    whole = np.frombuffer(ids.as_buffer(), kind)
+                    a, z = max(low[s] - at, 0), min(high[s] - at, len(whole))
+                    if a < z:
+                        found.setdefault(s, []).append((at + a, (i, a, len(whole), whole[a:z].copy())))
+                    at += len(whole)
+                del table
+            del reader
+    queues, docs = {}, []
+    for s, some in found.items():
+        some.sort(key=lambda x: x[0])
+        queues[s] = deque((len(docs) + k, len(d[3])) for k, (_, d) in enumerate(some))
+        docs += [d for _, d in some]
+    return queues, docs, kind
+
+
+def _pack(sources: list, totals: np.ndarray, weights: np.ndarray, windows: int, length: int, quantum: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = dict(zip(sources, weights.tolist(), strict=True))
         for batch in batches:
             for row in batch.to_pylist():
-                reader = pa.ipc.open_file(opened(row["path"]))
-                table = reader.read_all()
-                kind = np.dtype(reader.schema.metadata[b"ids"].decode())
-                docs, sources, ids = table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2)
-                queues: dict = {}
-                for i, s in enumerate(sources):
-                    queues.setdefault(s, deque()).append((i, len(ids[i].as_buffer()) // kind.itemsize))
-                weights = {x["source"]: x["weight"] for x in row["sources"]}
-                deficits = {x["source"]: x["deficit"] for x in row["sources"]}
-                cols, names, last, raw = [array("q") for _ in range(7)], [], (-1, 0), {}
-                for s, i, start, size, window, offset in deal(queues, weights, deficits, length, quantum):
-                    if i not in raw:
-                        raw[i] = np.frombuffer(ids[i].as_buffer(), kind).astype("<u4")
-                    whole = raw[i]
-                    crc = zlib.crc32(whole[start : start + size])
-                    if start + size == len(whole):
-                        del raw[i]
-                    for c, v in zip(cols, (i, start, size, crc, len(whole), window, offset), strict=True):
+                low, high = (dict(zip(sources, apportioned(totals, weights, n * windows * length).tolist(), strict=True)) for n in (row["task"], row["task"] + 1))
+                queues, docs, kind = _queued(row["batches"], low, high)
+                cols, names, last = [array("q") for _ in range(7)], [], (-1, 0)
+                for s, i, start, size, window, offset in deal(queues, share, dict.fromkeys(queues, 0.0), length, quantum):
+                    _, first, whole, ids = docs[i]
+                    crc = zlib.crc32(ids[start : start + size].astype("<u4"))
+                    for c, v in zip(cols, (i, first + start, size, crc, whole, window, offset), strict=True):
                         c.append(v)
                     names.append(s)
                     last = (window, offset + size)
-                del raw
                 i, start, size, crc, total, window, offset = (np.frombuffer(c, np.int64) for c in cols)
                 full = last[1] if last[1] & (last[1] - 1) == 0 else length
                 padded = np.where(window == last[0], full, length)
-                ident = pa.array(docs, pa.int64()).take(pa.array(i))
+                ident = pa.array([d[0] for d in docs], pa.int64()).take(pa.array(i))
                 for a in range(0, len(i), 1 << 16):
                     z = slice(a, a + (1 << 16))
                     yield pa.RecordBatch.from_arrays(
-                        [ident[z], *[pa.array(v[z]) for v in (start, size, crc, total)], pa.array(window[z] + (row["part"] << 24)), pa.array(offset[z]), pa.array(names[z], pa.string()), pa.array(padded[z])],
+                        [ident[z], *[pa.array(v[z]) for v in (start, size, crc, total)], pa.array(window[z] + row["task"] * windows), pa.array(offset[z]), pa.array(names[z], pa.string()), pa.array(padded[z])],
                         names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "padded_length"],
                     )
 
@@ -152,21 +227,17 @@ def pack(docs: DataFrame, *, vocabulary: str, end_id: int = 0, length: int = 102
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").cast("string").alias("source"))
     parts = materialise(slim.mapInArrow(_tokenise(work_dir(spark, "pack-ids"), vocabulary, end_id, file_tokens), _PARTS), "pack-parts")
-    totals = parts.groupBy("source").agg(F.sum("n_tokens").alias("all"))
-    if shares is None:
-        weights = totals.withColumn("weight", F.col("all").cast("double"))
-    else:
-        given = F.create_map(*[F.lit(x) for kv in shares.items() for x in (kv[0], float(kv[1]))]) if shares else F.create_map()
-        weights = totals.withColumn("weight", F.coalesce(F.element_at(given, F.coalesce("source", F.lit(""))), F.lit(0.0)) + 1e-9)
-    weights = weights.select("source", (F.col("weight") / weights.agg(F.sum("weight")).scalar()).alias("weight"))
-    ordered = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = parts.groupBy("part", "path").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ordered), F.lit(0)))
-    mine = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    used = parts.withColumn("used", F.coalesce(F.sum("n_tokens").over(mine), F.lit(0)))
-    owed = used.join(files.select("part", "before"), "part").join(weights.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    plan = owed.groupBy("part", "path").agg(F.collect_list(F.struct("source", "weight", (F.col("weight") * F.col("before") - F.col("used")).alias("deficit"))).alias("sources"))
+    rows = sorted(((r["source"], r["all"]) for r in parts.groupBy("source").agg(F.sum("n_tokens").alias("all")).collect()), key=lambda r: (r[0] is not None, r[0]))
+    sources, totals = [s for s, _ in rows], np.array([t for _, t in rows], np.int64)
+    weights = totals.astype(float) if shares is None else np.array([float(shares.get(s or "", 0.0)) + 1e-9 for s in sources])
+    weights = weights / weights.sum() if rows else weights
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return plan.repartition(n, "part").select("part", "path", "sources").mapInArrow(_pack(length, quantum), PIECES)
+    windows = max(1, min(file_tokens // length, max(64, -(-int(totals.sum()) // (3 * n * length)))))
+    mine = Window.partitionBy("source").orderBy("part", "batch").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("before", F.coalesce(F.sum("n_tokens").over(mine), F.lit(0)))
+    dealt = placed.mapInArrow(_dealt(sources, totals, weights, windows * length), _DEALT)
+    plan = dealt.repartition(n, "task").groupBy("task").agg(F.collect_list(F.struct("path", "batch", "source", "before")).alias("batches"))
+    return plan.mapInArrow(_pack(sources, totals, weights, windows, length, quantum), PIECES)
 
 
 def op10_mixture_packing(spark, sf_dir: str) -> DataFrame:

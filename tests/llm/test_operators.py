@@ -287,3 +287,37 @@ def test_packing_keeps_proportions():
     for w in range(40):
         assert abs(held[w]["a"] - 600) <= 150 and abs(held[w]["c"] - 100) <= 100
     assert all(sum(held[w].values()) == 1000 for w in range(49))
+
+
+def test_packing_keeps_proportions_on_documents_stored_by_source(spark):
+    """Each source in partitions of its own, one with a third of all rows."""
+    rows = [(i, f"some words of {s} number {i} " * (5 + i % 7), s) for i, s in enumerate(sorted("aaaabbbbccdd" * 100))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string, source string")
+
+    def windows(**shares):
+        held, seen = collections.defaultdict(collections.Counter), collections.Counter()
+        for r in packing.pack(df, vocabulary=VOCABULARY, file_tokens=16_000, **shares).collect():
+            held[r.sequence_id][r.source] += r.length
+            seen[r.doc_id] += r.length
+            assert r.start + r.length <= r.doc_tokens
+        assert len(seen) == len(rows)
+        assert all(sum(held[w].values()) == 1024 for w in sorted(held)[:-1])
+        return [held[w] for w in sorted(held)]
+
+    mixed = windows()
+    total = sum(mixed, collections.Counter())
+    assert len(mixed) > 30
+    for w in mixed[:-1]:
+        assert all(abs(w[s] - 1024 * n / total.total()) <= 256 for s, n in total.items())
+    given = windows(shares={"c": 0.5, "a": 0.5})  # c is used up first, then a, and only then come b and d
+    assert sum(given, collections.Counter()) == total
+    both = 2 * total["c"] // 1024 - 2
+    assert all(abs(w["c"] - 512) <= 256 and w["b"] + w["d"] <= 2 for w in given[:both])
+    assert all(w["b"] + w["d"] <= 2 for w in given[: (total["a"] + total["c"]) // 1024 - 1])
+
+
+def test_apportioning_is_exact_and_monotone():
+    totals, weights = np.array([50_000, 7, 1, 20_011, 3000]), np.array([0.3, 0.2, 1e-9, 0.4, 0.1])
+    rows = [packing.apportioned(totals, weights, n) for n in range(0, 73_100, 37)]
+    assert all(r.sum() == min(37 * k, totals.sum()) for k, r in enumerate(rows))
+    assert (np.diff(np.stack(rows), axis=0) >= 0).all() and (rows[-1] == totals).all()
