@@ -321,3 +321,14 @@ def test_apportioning_is_exact_and_monotone():
     rows = [packing.apportioned(totals, weights, n) for n in range(0, 73_100, 37)]
     assert all(r.sum() == min(37 * k, totals.sum()) for k, r in enumerate(rows))
     assert (np.diff(np.stack(rows), axis=0) >= 0).all() and (rows[-1] == totals).all()
+
+
+def test_decontamination_finds_short_items(spark):
+    items = spark.createDataFrame([(1, " What is the  capital of Peru?"), (2, "Lima"), (3, "秘鲁的首都"), (4, " "), (5, "what is the capital of peru?"), (6, None)], "item_id long, text string")
+    texts = ["Asked: “what IS the\ncapital of Peru?” Yes.", "What is the capital of Perugia?", "limas and dilima", "é, lima.", "问秘鲁的首都在哪里", "", None, "Élima", "in Lima, lima"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edit_distance, r.item_bytes) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(0, 1, 0, 28), (0, 5, 0, 28), (3, 2, 0, 4), (4, 3, 0, 15), (8, 2, 0, 4)}
+    ends = {(r.doc_id, r.item_id): r.match_end for r in decontaminate.find_leaks(docs, items).collect()}
+    assert ends[8, 2] == 7 and ends[3, 2] == 8
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {1, 2, 5, 6, 7}
