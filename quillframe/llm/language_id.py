@@ -2,7 +2,7 @@
 
 Features are shares of hashed byte trigrams of the lower-cased text (everything but letters is one blank), so texts
 of any length are compared alike. The SVMs (squared hinge, L2) are fitted on the driver to a bounded sample of
-labelled rows: at most ``per_language`` rows, chosen by a hash, of each of the ``max_languages`` most frequent labels.
+labelled rows, chosen by a hash: every label has the same share of ``sample_rows``, up to ``per_language`` and at least 1.
 """
 
 from __future__ import annotations
@@ -140,25 +140,27 @@ def _identify(model: dict):
     return run
 
 
-def identify(docs: DataFrame, *, learn_from, per_language: int = 1000, max_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, *, learn_from, per_language: int = 1000, sample_rows: int = 64_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: ``id_col, held_out, lang_pred, score``; ``learn_from`` is a boolean column, true on rows to learn from.
 
     Predictions see the text alone. Defined cases: a null text or one without a letter is ``und`` with score 0; rows
     without a label are not learnt from; with no labelled row everything is ``und``; with one language learnt every
     spelled text is that; repeated rows are predicted alike.
     """
+    spark = docs.sparkSession
     raw = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(learn_from, F.lit(False)).alias("learn"))
     usable = raw.where("learn and lang is not null and text is not null")
-    frequent = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    # a hash thins each label to about twice its share first, so that only the sample's texts are shuffled
+    counts = [(r["lang"], r["count"]) for r in usable.groupBy("lang").count().collect()]
+    most = max(1, min(per_language, sample_rows // max(1, len(counts))))
+    # a hash thins each label to about twice its share and some first, so that only the sample's texts are shuffled and
+    # no label is left without a row
+    bounds = spark.createDataFrame([(name, min(1 << 40, (2 * most + 32 << 40) // n)) for name, n in counts], "lang string, below long")
     drawn = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40))
-    thin = F.lit(False)
-    for name, n in frequent.items():
-        thin = thin | ((F.col("lang") == name) & (drawn < F.lit(min(1 << 40, (2 * per_language << 40) // n))))
+    thin = usable.join(F.broadcast(bounds), "lang").where(drawn < F.col("below"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), F.xxhash64("text"))
-    chosen = usable.where(thin).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    chosen = thin.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     sample: list = []
-    for row in chosen.select("lang", "text").mapInArrow(_sampled, "lang string, at binary, share binary").collect() if frequent else []:
+    for row in chosen.select("lang", "text").mapInArrow(_sampled, "lang string, at binary, share binary").collect() if counts else []:
         x = np.zeros(1 << BITS, np.float32)
         x[np.frombuffer(row["at"], "<u2")] = np.frombuffer(row["share"], np.float32)
         sample.append((row["lang"], x))

@@ -332,3 +332,15 @@ def test_decontamination_finds_short_items(spark):
     ends = {(r.doc_id, r.item_id): r.match_end for r in decontaminate.find_leaks(docs, items).collect()}
     assert ends[8, 2] == 7 and ends[3, 2] == 8
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {1, 2, 5, 6, 7}
+
+
+def test_language_learns_every_label(spark):
+    """70 labels, each with words of its own."""
+    rnd = random.Random(8)
+    words = {f"x{k:02d}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for k in range(70)}
+    rows = [(70 * n + k, " ".join(rnd.choices(words[name], k=20)), name) for n in range(4) for k, name in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for more in ({}, {"sample_rows": 150}):
+        got = {r.doc_id: r.lang_pred for r in language_id.identify(df, learn_from=F.col("doc_id") < 210, **more).collect()}
+        assert set(got.values()) == set(words)
+        assert sum(got[i] == name for i, _, name in rows) >= 0.97 * len(rows)
