@@ -26,19 +26,19 @@ def _words(text: Column) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more.
 
-    Windows' hashes carry their place in the low bits and are sorted, so equal ones are neighbours; a second sort of
-    the few candidates compares all 64 bits.
+    Windows' hashes carry their place in the low 31 bits (no array is longer) and are sorted, so equal ones are
+    neighbours; a second sort of the few candidates compares all 64 bits.
     """
     n = F.size(words)
     hashes = F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     one = F.array(hashes)
 
     def among(h: Column) -> Column:
-        tagged = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, 22), 22) + i.cast("long")))
-        top = lambda x: F.shiftright(x, 22)
+        tagged = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, 31), 31) + i.cast("long")))
+        top = lambda x: F.shiftright(x, 31)
         near = F.array(tagged)
         likely = F.flatten(F.transform(near, lambda t: F.filter(t, lambda x, i: (top(x) == top(F.get(t, i - 1))) | (top(x) == top(F.get(t, i + 1))))))
-        places = F.transform(likely, lambda x: (x - F.shiftleft(F.shiftright(x, 22), 22)).cast("int"))
+        places = F.transform(likely, lambda x: (x - F.shiftleft(F.shiftright(x, 31), 31)).cast("int"))
         pairs = F.array(F.array_sort(F.transform(places, lambda i: F.struct(F.get(h, i).alias("h"), i.alias("i")))))
         found = F.flatten(F.transform(pairs, lambda p: F.filter(p, lambda x, i: (x["h"] == F.get(p, i - 1)["h"]) | (x["h"] == F.get(p, i + 1)["h"]))))
         starts = F.array(F.sort_array(F.transform(found, lambda x: x["i"])))

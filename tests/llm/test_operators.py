@@ -344,3 +344,11 @@ def test_language_learns_every_label(spark):
         got = {r.doc_id: r.lang_pred for r in language_id.identify(df, learn_from=F.col("doc_id") < 210, **more).collect()}
         assert set(got.values()) == set(words)
         assert sum(got[i] == name for i, _, name in rows) >= 0.97 * len(rows)
+
+
+def test_quality_of_a_very_long_text(spark):
+    """Repeats at places past 2 ** 22: one three-word window stands twice there."""
+    n = 4_200_000
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.hex(i)), F.lit("one two three over one two three"))
+    got = quality_rules.figures(spark.range(1).select(text.alias("text"))).first()
+    assert (got.n_words, got.n_repeat_words) == (n + 7, 6)
