@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise, work_dir
+from quillframe.llm.common import column_bytes, materialise, work_dir
 from quillframe.llm.encoding import encoder
 from quillframe.llm.files import create, fresh, opened
 
@@ -39,17 +39,18 @@ def _tokenise(directory: str, vocabulary: str, end_id: int, file_tokens: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(vocabulary), TaskContext.get().partitionId()
-        end, k, held, n = np.array([end_id], enc.dtype).tobytes(), 0, {}, 0
+        k, held, n = 0, {}, 0
 
         def written() -> pa.RecordBatch:
             path, totals = fresh(directory, f"ids-{task:08d}-{k:06d}", ".arrow"), []
             with create(path) as out, pa.ipc.new_file(out, _TOKENS.with_metadata({"ids": enc.dtype.str})) as writer:
                 for s, docs in held.items():
-                    sizes = np.array([len(x) // enc.dtype.itemsize for _, x in docs])
+                    sizes = np.array([len(x) for _, x in docs])
                     group = (np.cumsum(sizes) - sizes) // _BATCH_TOKENS
                     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(docs)]
                     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                        ids = pa.array([x for _, x in docs[a:z]], pa.large_binary())
+                        ends = np.concatenate(([0], np.cumsum(sizes[a:z]))) * enc.dtype.itemsize
+                        ids = pa.Array.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([x for _, x in docs[a:z]]))])
                         writer.write_batch(pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs[a:z]], pa.int64()), pa.array([s] * (z - a), pa.string()), ids], schema=_TOKENS))
                         totals.append((s, int(sizes[a:z].sum())))
             m = len(totals)
@@ -57,10 +58,9 @@ def _tokenise(directory: str, vocabulary: str, end_id: int, file_tokens: int):
 
         for batch in batches:
             docs, sources = batch.column(0).cast(pa.int64()).to_pylist(), batch.column(2).to_pylist()
-            for i, s, t in zip(docs, sources, batch.column(1), strict=True):
-                x = enc.encode(t.as_py()) + end
+            for i, s, x in zip(docs, sources, enc.encode_all(batch.column(1).to_pylist(), end_id), strict=True):
                 held.setdefault(s, []).append((i, x))
-                n += len(x) // enc.dtype.itemsize
+                n += len(x)
                 if n >= file_tokens:
                     yield written()
                     k, held, n = k + 1, {}, 0
@@ -156,11 +156,11 @@ def deal(queues: dict, weights: dict, deficits: dict, length: int, quantum: int)
                 deficits[x] += weights[x] / share * length
 
 
-def _queued(batches: list[dict], low: dict, high: dict) -> tuple[dict, list, np.dtype]:
+def _queued(batches: list[dict], low: dict, high: dict) -> tuple[dict, list]:
     """Queues of ``(document, tokens)`` for ``deal`` of each source's tokens from ``low`` to ``high``, and the documents:
-    ``(doc_id, first token here, all its tokens, ids here)``. Ids are copied, so that one file is open at a time."""
+    ``(doc_id, first token here, all its tokens, ids here as 32-bit bytes)``. Ids are copied, so that one file is open at
+    a time."""
     found: dict = {}
-    kind = np.dtype("<u4")
     for path, group in itertools.groupby(sorted(batches, key=lambda x: (x["path"], x["batch"])), key=lambda x: x["path"]):
         with opened(path) as f:
             reader = pa.ipc.open_file(f)
@@ -170,20 +170,22 @@ def _queued(batches: list[dict], low: dict, high: dict) -> tuple[dict, list, np.
                 if at >= high[s]:
                     continue
                 table = reader.get_batch(x["batch"])
-                for i, ids in zip(table.column(0).to_pylist(), table.column(2), strict=True):
-                    whole = np.frombuffer(ids.as_buffer(), kind)
-                    a, z = max(low[s] - at, 0), min(high[s] - at, len(whole))
-                    if a < z:
-                        found.setdefault(s, []).append((at + a, (i, a, len(whole), whole[a:z].copy())))
-                    at += len(whole)
-                del table
+                flat, ends = column_bytes(table.column(2))
+                flat, ends = flat.view(kind), ends // kind.itemsize
+                first, stop = int(np.searchsorted(ends[1:], low[s] - at, "right")), int(np.searchsorted(ends[:-1], high[s] - at, "left"))
+                idents = table.column(0).slice(first, max(0, stop - first)).to_pylist()
+                for i, a, z in zip(idents, ends[first:stop].tolist(), ends[first + 1 : stop + 1].tolist(), strict=True):
+                    lo, hi = max(low[s] - at, a), min(high[s] - at, z)
+                    if lo < hi:
+                        found.setdefault(s, []).append((at + lo, (i, lo - a, z - a, flat[lo:hi].astype("<u4").tobytes())))
+                del table, flat
             del reader
     queues, docs = {}, []
     for s, some in found.items():
         some.sort(key=lambda x: x[0])
-        queues[s] = deque((len(docs) + k, len(d[3])) for k, (_, d) in enumerate(some))
+        queues[s] = deque((len(docs) + k, len(d[3]) // 4) for k, (_, d) in enumerate(some))
         docs += [d for _, d in some]
-    return queues, docs, kind
+    return queues, docs
 
 
 def _pack(sources: list, totals: np.ndarray, weights: np.ndarray, windows: int, length: int, quantum: int):
@@ -192,11 +194,11 @@ def _pack(sources: list, totals: np.ndarray, weights: np.ndarray, windows: int,
         for batch in batches:
             for row in batch.to_pylist():
                 low, high = (dict(zip(sources, apportioned(totals, weights, n * windows * length).tolist(), strict=True)) for n in (row["task"], row["task"] + 1))
-                queues, docs, kind = _queued(row["batches"], low, high)
+                queues, docs = _queued(row["batches"], low, high)
                 cols, names, last = [array("q") for _ in range(7)], [], (-1, 0)
                 for s, i, start, size, window, offset in deal(queues, share, dict.fromkeys(queues, 0.0), length, quantum):
                     _, first, whole, ids = docs[i]
-                    crc = zlib.crc32(ids[start : start + size].astype("<u4"))
+                    crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + size)])
                     for c, v in zip(cols, (i, first + start, size, crc, whole, window, offset), strict=True):
                         c.append(v)
                     names.append(s)

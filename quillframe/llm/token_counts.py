@@ -1,9 +1,11 @@
 """Token counts that follow edits.
 
 A document's pre-tokens are grouped into leaves; a segment tree over the leaves holds characters and tokens per
-subtree. An edit re-encodes the leaves it touches, one more to the left where it lies within three characters of a
+subtree. An edit re-encodes the leaves it touches, further ones to the left where it lies within a few characters of a
 leaf's start (no pre-token decision looks further), and as many to the right as it takes for pre-token boundaries to
 fall where they fell before; then the sums above are updated. Counts equal those of encoding the edited text anew.
+All scripts are treated so; only a text that holds an added token's string, or a tokenizer that is not a byte-level BPE,
+is counted whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import without
-from quillframe.llm.encoding import PIECES, Encoder, encoder
+from quillframe.llm.encoding import GROUP_CHARS, Encoder, encoder
 
 LEAF = 64
 CONTEXT = 3
@@ -25,24 +27,26 @@ CONTEXT = 3
 class CountTree:
     """Segment tree of one document: leaves of whole pre-tokens, sums of characters and of tokens."""
 
-    def __init__(self, enc: Encoder, text: str, leaf: int = LEAF):
+    def __init__(self, enc: Encoder, text: str, leaf: int = LEAF, known: tuple[list[str], np.ndarray] | None = None):
+        """``known``: the text's pre-tokens and their counts, where they are at hand."""
         self.enc, self.leaf, self.encoded = enc, leaf, 0
-        self.plain = enc.plain(text)
-        self.whole = None if self.plain else text
-        self._build(text)
-
-    def _count(self, words: list[str]) -> int:
-        return sum(map(len, self.enc.pieces(words))) // self.enc.dtype.itemsize
+        self.context = max([CONTEXT, *map(len, enc.added)])
+        self.pieced = known is not None or enc.pieced(text)
+        self.whole = None if self.pieced else text
+        self._build(text, known)
 
-    def _build(self, text: str) -> None:
-        if not self.plain:
+    def _build(self, text: str, known: tuple[list[str], np.ndarray] | None = None) -> None:
+        if not self.pieced:
             self.whole, self.texts = text, []
             self.chars = self.tokens = np.zeros(2, np.int64)
             self.size, self.whole_tokens = 1, len(self.enc.encode(text)) // self.enc.dtype.itemsize
             self.encoded += len(text)
             return
-        words = PIECES.findall(text)
-        sizes = np.fromiter(map(len, self.enc.pieces(words)), np.int64, len(words)) // self.enc.dtype.itemsize
+        if known is None:
+            words = self.enc.split(text)
+            sizes = self.enc.counts(words)
+        else:
+            words, sizes = known
         self.texts = ["".join(words[i : i + self.leaf]) for i in range(0, len(words), self.leaf)]
         n = max(1, len(self.texts))
         self.size = 1 << (n - 1).bit_length()
@@ -59,11 +63,11 @@ class CountTree:
 
     @property
     def total(self) -> int:
-        return int(self.tokens[1]) if self.plain else self.whole_tokens
+        return int(self.tokens[1]) if self.pieced else self.whole_tokens
 
     @property
     def text(self) -> str:
-        return "".join(self.texts) if self.plain else self.whole
+        return "".join(self.texts) if self.pieced else self.whole
 
     def _find(self, at: int) -> tuple[int, int]:
         """The leaf that holds character ``at``, and that leaf's first character."""
@@ -87,28 +91,26 @@ class CountTree:
 
     def edit(self, start: int, end: int, replacement: str) -> int:
         """Replace characters [start, end) (clipped to the text); returns the new count."""
-        size = int(self.chars[1]) if self.plain else len(self.whole)
+        size = int(self.chars[1]) if self.pieced else len(self.whole)
         start = min(max(start, 0), size)
         end = min(max(end, start), size)
-        if not self.plain or not self.enc.plain(replacement) or not self.texts:
-            text = self.text[:start] + replacement + self.text[end:]
-            self.plain = self.enc.plain(text)
-            if self.plain:
-                self.encoded += len(text)
-            self._build(text)
-            return self.total
-        first, _ = self._find(min(start, size - 1))
-        last, _ = self._find(min(max(end, start), size - 1))
-        base = self._start(first)
-        while first and start - base < CONTEXT:
+        if not self.pieced or not self.texts:
+            return self._anew(self.text[:start] + replacement + self.text[end:])
+        first, base = self._find(min(start, size - 1))
+        last, before = self._find(min(end, size - 1))
+        while first and start - base < self.context:
             first -= 1
             base -= len(self.texts[first])
-        last = max(last, first)
+        while last + 1 < len(self.texts) and before + len(self.texts[last]) - end < self.context:
+            before += len(self.texts[last])
+            last += 1
         old = "".join(self.texts[first : last + 1])
         new = old[: start - base] + replacement + old[end - base :]
+        if not self.enc.pieced(new):
+            return self._anew(self.text[:start] + replacement + self.text[end:])
         while True:
             ahead = self.texts[last + 1] if last + 1 < len(self.texts) else ""
-            words, at, kept = PIECES.findall(new + ahead), 0, []
+            words, at, kept = self.enc.split(new + ahead), 0, []
             for w in words:
                 if at >= len(new):
                     break
@@ -123,9 +125,17 @@ class CountTree:
             self._build("".join(self.texts[:first]) + new + "".join(self.texts[last + 1 :]))
             return self.total
         per = -(-len(kept) // (last - first + 1)) or 1
+        sizes = self.enc.counts(kept)
         for i in range(first, last + 1):
-            part = kept[(i - first) * per : (i - first + 1) * per]
-            self._set(i, "".join(part), self._count(part) if part else 0)
+            a, z = (i - first) * per, (i - first + 1) * per
+            self._set(i, "".join(kept[a:z]), int(sizes[a:z].sum()))
+        return self.total
+
+    def _anew(self, text: str) -> int:
+        self.pieced = self.enc.pieced(text)
+        if self.pieced:
+            self.encoded += len(text)
+        self._build(text)
         return self.total
 
     def _start(self, leaf: int) -> int:
@@ -137,13 +147,35 @@ class CountTree:
         return before
 
 
+def _trees(enc: Encoder, texts: list[str]) -> Iterator[CountTree]:
+    """The texts' trees; pre-tokens of about ``GROUP_CHARS`` characters are counted together."""
+    held: list[tuple[str, list[str] | None]] = []
+    chars = 0
+
+    def built() -> Iterator[CountTree]:
+        sizes = enc.counts([w for _, words in held for w in words or ()])
+        at = 0
+        for text, words in held:
+            n = len(words or ())
+            yield CountTree(enc, text, known=None if words is None else (words, sizes[at : at + n]))
+            at += n
+
+    for text in texts:
+        held.append((text, enc.split(text) if enc.pieced(text) else None))
+        chars += len(text)
+        if chars > GROUP_CHARS:
+            yield from built()
+            held, chars = [], 0
+    yield from built()
+
+
 def _run(vocabulary: str, text_at: int, edits_at: int, keep: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
             before, after, again = [], [], []
-            for text, edits in zip(batch.column(text_at), batch.column(edits_at), strict=True):
-                tree = CountTree(enc, text.as_py() or "")
+            texts = [t or "" for t in batch.column(text_at).to_pylist()]
+            for tree, edits in zip(_trees(enc, texts), batch.column(edits_at), strict=True):
                 before.append(tree.total)
                 tree.encoded = 0
                 for e in edits.as_py() or []:
@@ -161,8 +193,8 @@ def count_edited(docs: DataFrame, edits, *, vocabulary: str, text_col: str = "te
 
     ``edits`` is a column, array<struct<start: int, end: int, replacement: string>>, applied in order; places are
     characters of the text as edited so far, clipped to it. Defined cases: a null text is empty, a null array is no
-    edit, null fields are 0 or empty; texts whose characters the piecewise path does not cover are encoded whole; an
-    empty table gives no rows; input columns named like an added column are replaced.
+    edit, null fields are 0 or empty; texts that hold an added token's string are encoded whole; an empty table gives no
+    rows; input columns named like an added column are replaced.
     """
     docs = without(docs, "n_tokens", "n_tokens_edited", "chars_reencoded", "__qf_edits")
     kept = [c for c in docs.columns if c != text_col]

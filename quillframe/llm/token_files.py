@@ -42,19 +42,19 @@ class SequenceWriter:
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
-    def append(self, ids: bytes) -> None:
+    def append(self, ids: np.ndarray) -> None:
         self.held.append(ids)
-        self.size += len(ids) // self.dtype.itemsize
-        self.total += len(ids) // self.dtype.itemsize
+        self.size += len(ids)
+        self.total += len(ids)
         if self.size >= self.length * BATCH:
-            flat = np.frombuffer(b"".join(self.held), self.dtype)
+            flat = np.concatenate(self.held)
             full = len(flat) - len(flat) % (self.length * BATCH)
             for i in range(0, full, self.length * BATCH):
                 self._emit(flat[i : i + self.length * BATCH], self.length * BATCH)
-            self.held, self.size = [flat[full:].tobytes()], len(flat) - full
+            self.held, self.size = [flat[full:].copy()], len(flat) - full
 
     def close(self) -> None:
-        flat = np.frombuffer(b"".join(self.held), self.dtype)
+        flat = np.concatenate([*self.held, np.zeros(0, self.dtype)])
         if len(flat):
             padded = np.zeros(-(-len(flat) // self.length) * self.length, self.dtype)
             padded[: len(flat)] = flat
@@ -68,7 +68,7 @@ def _write(directory: str, vocabulary: str, end_id: int, length: int):
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
         path = fresh(directory, f"tokens-{part:08d}", ".arrow")
         docs_path = path.removesuffix(".arrow") + ".docs.arrow"
-        end, writer, index, n = np.array([end_id], enc.dtype).tobytes(), None, None, 0
+        writer, index, n = None, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -76,10 +76,9 @@ def _write(directory: str, vocabulary: str, end_id: int, length: int):
                 writer, side = SequenceWriter(path, enc.dtype, length), create(docs_path)
                 index = pa.ipc.new_file(side, _DOCS)
             start, size = [], []
-            for text in batch.column(1):
-                ids = enc.encode(text.as_py()) + end
+            for ids in enc.encode_all(batch.column(1).to_pylist(), end_id):
                 start.append(writer.total)
-                size.append(len(ids) // enc.dtype.itemsize)
+                size.append(len(ids))
                 writer.append(ids)
             index.write_batch(pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], schema=_DOCS))
             n += batch.num_rows

@@ -16,7 +16,7 @@ def whole(enc, text):
     return len(enc.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-ALPHABET = ["a", "b", " ", "  ", "\n", "'", "'l", "l", "'s", "é", "9", "12", "!", "%%", "the ", " of", "word", "\t", "_", "don't"]
+ALPHABET = ["a", "b", " ", "  ", "\n", "'", "'l", "l", "'s", "é", "9", "12", "!", "%%", "the ", " of", "word", "\t", "_", "don't", "Ж", "日本", "<|endof", "text|>"]
 
 
 def test_counts_follow_edits(enc):
@@ -30,7 +30,7 @@ def test_counts_follow_edits(enc):
             b = a + rnd.choice([0, 0, 1, 3, 30])
             new = "".join(rnd.choice(ALPHABET) for _ in range(rnd.choice([0, 1, 3, 60])))
             if rnd.random() < 0.05:
-                new += "漢字² <|endoftext|>"
+                new += rnd.choice(["漢字² <|endoftext|>", "<|endof", "text|>", "漢字²", "слово", "\u3000"])
             text = text[:a] + new + text[b:]
             assert tree.edit(a, b, new) == whole(enc, text), (trial, text)
             assert tree.text == text
@@ -51,3 +51,13 @@ def test_pieces_equal_the_library(enc):
     for _ in range(300):
         text = "".join(rnd.choice([*ALPHABET, "ß", "ñ", "«", "…", "€", "’", "ªº", "½", "\x1c", " ", "漢", "\r\n"]) for _ in range(60))
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_an_edit_of_any_script_reencodes_little(enc):
+    for unit in ("обычные слова подряд ", "漢字かな交じり文。次の文、", "ελληνικές λέξεις 🙂 "):
+        text = unit * 4000
+        tree = CountTree(enc, text)
+        tree.encoded = 0
+        at = len(text) // 2
+        assert tree.edit(at, at + 3, "иное 文") == whole(enc, text[:at] + "иное 文" + text[at + 3 :])
+        assert 0 < tree.encoded < 3_000
