@@ -3,6 +3,10 @@
 Rules over a text's figures vote bad (0), good (1) or abstain. Votes are counted per pattern, a table of at most
 3 ** rules rows whatever the corpus; on it expectation-maximisation fits the share of good documents and each rule's
 accuracy. A document stays if its posterior probability of being good reaches ``keep_at``.
+
+Abstentions are counted when outcomes are estimated (a rule's votes are weighed by how often it casts them on either kind
+of document), but are no evidence themselves: the E-step and the verdict use the same posterior, over cast votes only.
+With abstentions as evidence, documents on which every rule abstains would all be rejected.
 """
 
 from __future__ import annotations
@@ -138,8 +142,6 @@ def score(docs: DataFrame, *, keep_at: float = 0.5, rules: dict | None = None, i
     null text has no words and fails the base; with no documents the fit is its prior and no rows come out; repeated rows
     and null ids are judged row by row.
     """
-
-
     rules = rules or RULES
     measured = materialise(figures(docs, text_col, [F.col(f"`{id_col}`")]), "figures")
     share, model = _fitted(measured, rules)
@@ -149,7 +151,8 @@ def score(docs: DataFrame, *, keep_at: float = 0.5, rules: dict | None = None, i
 
 def keep_good(docs: DataFrame, *, keep_at: float = 0.5, rules: dict | None = None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; rows are written with their figures, so that they need no
-    key and nothing is measured twice."""
+    key and nothing is measured twice. Defined cases are those of ``score``: rows with a null or empty text go, repeated
+    rows and null ids are judged row by row, an empty table stays empty, and columns of any name pass unchanged."""
     rules = rules or RULES
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     measured = materialise(figures(packed, "text", [F.col("row")]), "measured")

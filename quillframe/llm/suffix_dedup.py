@@ -28,6 +28,7 @@ from quillframe.llm.common import MIX_A, MIX_B, MIX_C, column_bytes, mix64, part
 GRAM = 16
 SHALLOW = 24
 BLOCK = 1 << 18
+CHUNKS, LEAST_CHUNK, MOST_CHUNK = 1 << 12, 8 << 20, 128 << 20
 _POS_BITS = np.uint64(22)
 _POS_MASK = np.uint64((1 << 22) - 1)
 _LAST = np.int64(np.iinfo(np.int64).max)
@@ -155,6 +156,36 @@ def _blind_trie(strings: list[bytes]) -> list[int]:
     return out
 
 
+def _multikey(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Multikey quicksort of rows of symbols down to ``depth`` symbols: their order, and the groups ``(first, size)``
+    that are equal so far. Every round splits all open groups at once, each at its own depth, into what is less than,
+    equal to and greater than its pivot (the median of three); equal ones go one symbol deeper. Settled rows are not
+    touched again."""
+    order, tied = np.arange(len(symbols)), []
+    first, size, level = np.zeros(1, np.int64), np.array([len(symbols)]), np.zeros(1, np.int64)
+    while len(first):
+        group = np.repeat(np.arange(len(first)), size)
+        at = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size) + first[group]
+        rows = order[at]
+        key = symbols[rows, level[group]]
+        low = np.cumsum(size) - size
+        a, b, c = key[low], key[low + size // 2], key[low + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        sides = [key < pivot, key == pivot, key > pivot]
+        counts = np.stack([np.add.reduceat(s.astype(np.int64), low) for s in sides])
+        begins = first + np.concatenate((np.zeros((1, len(first)), np.int64), np.cumsum(counts, 0)[:2]))
+        for side, begin, count in zip(sides, begins, counts, strict=True):
+            own = group[side]
+            order[begin[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)] = rows[side]
+        first, size, level = begins.ravel(), counts.ravel(), np.concatenate((level, level + 1, level))
+        many = size > 1
+        first, size, level = first[many], size[many], level[many]
+        done = level >= depth
+        tied += zip(first[done].tolist(), size[done].tolist(), strict=True)
+        first, size, level = first[~done], size[~done], level[~done]
+    return order, tied
+
+
 def deep_shallow(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of fixed-width byte rows and the LCP of each with the one before it.
 
@@ -163,24 +194,13 @@ def deep_shallow(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray,
     """
     n, width = rows.shape
     symbols = rows.view(">u8").astype(np.uint64)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    for w in range(min(shallow // 8, symbols.shape[1])):
-        key = symbols[order, w]
-        again = np.lexsort((key, group))
-        order, group, key = order[again], group[again], key[again]
-        parts = np.concatenate(([False], (group[1:] != group[:-1]) | (key[1:] != key[:-1])))[:n]
-        group = np.cumsum(parts)
-        if n == 0 or group[-1] == n - 1:
-            break
-    if n > 1:
-        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        size = np.diff(np.concatenate((first, [n])))
-        for f, m in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            ids = order[f : f + m]
-            tail = rows[ids, min(shallow, width) :].tobytes()
-            step = width - min(shallow, width)
-            if step:
-                order[f : f + m] = ids[_blind_trie([tail[i * step : (i + 1) * step] for i in range(m)])]
+    depth = min(shallow // 8, symbols.shape[1])
+    order, tied = _multikey(symbols, depth) if n > 1 else (np.arange(n), [])
+    step = width - 8 * depth
+    for f, m in tied if step else ():
+        ids = order[f : f + m]
+        tail = rows[ids, 8 * depth :].tobytes()
+        order[f : f + m] = ids[_blind_trie([tail[i * step : (i + 1) * step] for i in range(m)])]
     lcp = np.zeros(n, np.int64)
     if n > 1:
         differ = rows[order[1:]] != rows[order[:-1]]
@@ -466,7 +486,22 @@ def _merged(ref: np.ndarray, start: np.ndarray, end: np.ndarray):
     return ref[first], start[first], reach[last] - ref[first] * wide
 
 
-def _cut(id_at: int, text_at: int, keep: int, schema: pa.Schema):
+def _whole_characters(raw: bytes, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The cuts, widened to whole UTF-8 characters."""
+    out = []
+    for a, b in cuts:
+        while 0 < a < len(raw) and raw[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b += 1
+        a = max(a, out[-1][1]) if out else a
+        out.append((a, b))
+    return out
+
+
+def _cut(id_at: int, text_at: int, keep: int, schema: pa.Schema, in_text: bool):
+    """Adds what stays and the spans, or with ``in_text`` puts what stays (whole characters) in the text's place."""
+
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -487,34 +522,32 @@ def _cut(id_at: int, text_at: int, keep: int, schema: pa.Schema):
                 spans.append([])
                 continue
             cuts = list(zip(a[x:y].tolist(), b[x:y].tolist(), strict=True))
+            if in_text:
+                cuts = _whole_characters(raw[s:e], cuts)
             edges = [0, *[v for c in cuts for v in c], e - s]
             kept.append(b"".join(raw[s + edges[j] : s + edges[j + 1]] for j in range(0, len(edges), 2)))
             spans.append([{"start": p, "end": q} for p, q in cuts])
         columns = [docs.column(i) for i in range(keep)]
+        if in_text:
+            there = columns[text_at].is_valid().to_pylist()
+            columns[text_at] = pa.array([k if v else None for k, v in zip(kept, there, strict=True)], pa.binary()).cast(schema.field(text_at).type)
+            return pa.Table.from_arrays(columns, schema=schema)
         return pa.Table.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(spans, schema.field(keep + 1).type)], names=schema.names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, min_len: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
-    """Every row of ``docs`` with ``kept_bytes`` (what stays of its text) and ``spans`` (the byte ranges removed).
-
-    A byte is removed if some ``min_len``-byte string over it also starts in a row with a smaller id; strings are
-    judged on the input. Defined cases: a null text is empty; texts under ``min_len`` bytes stay whole; rows with
-    one id do not remove each other's bytes; a null id counts as larger than all ids; an empty table gives an empty
-    table; input columns named like an added column are replaced. ``chunk_bytes`` and ``bucket_bytes`` are the text
-    a task holds when it scans documents and the text whose anchors meet in one bucket; raise both on large
-    clusters (128 MB and more) so that few, larger blobs travel.
-    """
+def _judged(docs: DataFrame, min_len: int, id_col: str, text_col: str, chunk_bytes: int | None, bucket_bytes: int | None) -> tuple[DataFrame, DataFrame]:
+    """The documents dealt in chunks, and the removed ranges sent back to each chunk."""
     if min_len < GRAM + 8 or min_len > 128:
         raise ValueError(f"min_len must be from {GRAM + 8} to 128")
-    spark = docs.sparkSession
-    docs = without(docs, "kept_bytes", "spans")
-    names = docs.columns
+    spark, names = docs.sparkSession, docs.columns
     id_at, text_at = names.index(id_col), names.index(text_col)
     total = text_bytes(docs, text_col)
+    chunk_bytes = chunk_bytes or min(max(total // CHUNKS, LEAST_CHUNK), MOST_CHUNK)
+    bucket_bytes = bucket_bytes or chunk_bytes // 2
     n_chunks, n_buckets = max(1, total // chunk_bytes + 1), max(1, total // bucket_bytes + 1)
-    parts = parts_for(spark, total, 4 * chunk_bytes)
+    parts = parts_for(spark, total, 4 * chunk_bytes if chunk_bytes <= LEAST_CHUNK else chunk_bytes)
     dealt = docs.select(
         *[F.col(f"`{c}`") for c in names],
         F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(n_chunks)).cast("int").alias("__qf_chunk"),
@@ -523,11 +556,37 @@ def remove_repeats(docs: DataFrame, *, min_len: int = 50, id_col: str = "doc_id"
     announced = dealt.groupBy("__qf_chunk").applyInArrow(_announce(min_len, n_buckets, id_at, text_at), _SENT)
     told = announced.groupBy("__qf_to").applyInArrow(_answer, _SENT)
     sent = dealt.groupBy("__qf_chunk").cogroup(told.groupBy("__qf_to")).applyInArrow(_contexts(min_len, n_buckets, id_at, text_at), _SENT)
-    judged = sent.groupBy("__qf_to").applyInArrow(_judge(min_len), _SENT)
+    return dealt, sent.groupBy("__qf_to").applyInArrow(_judge(min_len), _SENT)
+
+
+def cut_repeats(docs: DataFrame, *, min_len: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
+    """Every row of ``docs``, with all its columns, its text without the bytes that ``remove_repeats`` removes; a character
+    that would lose some of its bytes goes whole, so that every text is valid. Defined cases are those of
+    ``remove_repeats``, but a null text stays null, and columns of any name pass unchanged."""
+    names = docs.columns
+    dealt, judged = _judged(docs, min_len, id_col, text_col, chunk_bytes, bucket_bytes)
+    cut = _cut(names.index(id_col), names.index(text_col), len(names), to_arrow_schema(docs.schema), True)
+    return dealt.groupBy("__qf_chunk").cogroup(judged.groupBy("__qf_to")).applyInArrow(cut, docs.schema)
+
+
+def remove_repeats(docs: DataFrame, *, min_len: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
+    """Every row of ``docs`` with ``kept_bytes`` (what stays of its text) and ``spans`` (the byte ranges removed).
+
+    A byte is removed if some ``min_len``-byte string over it also starts in a row with a smaller id; strings are
+    judged on the input. Defined cases: a null text is empty; texts under ``min_len`` bytes stay whole; rows with
+    one id do not remove each other's bytes; a null id counts as larger than all ids; an empty table gives an empty
+    table; input columns named like an added column are replaced. ``chunk_bytes`` and ``bucket_bytes`` are the text
+    a task holds when it scans documents and the text whose anchors meet in one bucket; they follow from the total
+    unless given: 8 MB a chunk up to 32 GB of text, then a 4096th of it up to 128 MB, so that blobs stay few and large.
+    """
+    docs = without(docs, "kept_bytes", "spans")
+    names = docs.columns
+    id_at, text_at = names.index(id_col), names.index(text_col)
+    dealt, judged = _judged(docs, min_len, id_col, text_col, chunk_bytes, bucket_bytes)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     out = T.StructType([*docs.schema.fields, T.StructField("kept_bytes", T.BinaryType()), T.StructField("spans", span)])
     arrow = to_arrow_schema(out)
-    return dealt.groupBy("__qf_chunk").cogroup(judged.groupBy("__qf_to")).applyInArrow(_cut(id_at, text_at, len(names), arrow), out)
+    return dealt.groupBy("__qf_chunk").cogroup(judged.groupBy("__qf_to")).applyInArrow(_cut(id_at, text_at, len(names), arrow, False), out)
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

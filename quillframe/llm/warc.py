@@ -23,6 +23,7 @@ from quillframe.llm.files import create, fresh, opened
 
 #: Fixed by the format.
 _VERSION = b"WARC/1.1\r\n"
+_VERSIONS = (b"WARC/1.0\r\n", _VERSION)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = "urn:x-page:"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, origin string, segment int, total long, block binary"
@@ -116,8 +117,9 @@ def write_archives(pages: DataFrame, *, segment_bytes: int = 32 << 10, archive_b
     """
     raw = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     raw = raw.withColumn("key", F.sha1(F.col("html")))
-    first = raw.groupBy("key").agg(F.max("page_id").alias("top"))
-    judged = raw.join(first, "key").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("refers_to"))
+    several = raw.groupBy("key").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "top")
+    # a written table on this side, so that a payload which very many pages share can be split over tasks
+    judged = raw.join(materialise(several, "warc-payloads"), "key", "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("refers_to"))
     return materialise(judged.mapInArrow(_write(work_dir(pages.sparkSession, "warc"), segment_bytes, archive_bytes), "path string, bytes long"), "warc-manifest")
 
 
@@ -139,7 +141,7 @@ def members(stream, step: int = 1 << 16) -> Iterator[bytes]:
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    if not raw.startswith(_VERSION):
+    if not raw.startswith(_VERSIONS):
         raise ValueError("not a WARC record")
     head, _, rest = raw[len(_VERSION) :].partition(b"\r\n\r\n")
     fields = {}
@@ -157,11 +159,14 @@ def _page(ident: str) -> int | None:
     return int(text) if text.lstrip("-").isdigit() else None
 
 
-def _checked(block: bytes, digest: str) -> int:
+def _checked(block: bytes, digest: str | None) -> tuple[int, str]:
+    """A payload's length and digest; a stated digest must be met, by the payload or (as some writers do) by the body
+    before its transfer coding is undone."""
     payload = payload_of(block)
-    if digest_of(payload) != digest:
+    own = digest_of(payload)
+    if digest and digest not in (own, digest_of(block.partition(b"\r\n\r\n")[2])):
         raise ValueError("a payload does not meet its digest")
-    return len(payload)
+    return len(payload), own
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -177,16 +182,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with opened(path) as f:
                 for raw in members(f):
                     h, block = parse(raw)
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
+                    digest = h.get("warc-payload-digest", "")
+                    digest = digest.removeprefix("sha1:") if digest.startswith("sha1:") else None  # no other is checked
+                    kind = h["warc-type"]
+                    if kind not in ("response", "revisit", "continuation"):
+                        continue
                     if "warc-segment-number" in h:
                         origin = h.get("warc-segment-origin-id", h["warc-record-id"])
                         total = h.get("warc-segment-total-length")
-                        rows.append((_page(origin), None, digest or None, None, None, origin, int(h["warc-segment-number"]), int(total) if total else None, block))
+                        rows.append((_page(origin), None, digest, None, None, origin, int(h["warc-segment-number"]), int(total) if total else None, block))
                         held += len(block)
-                    elif h["warc-type"] == "revisit":
-                        rows.append((_page(h["warc-record-id"]), None, digest, "revisit", _page(h["warc-refers-to"]), None, None, None, None))
+                    elif kind == "revisit":
+                        rows.append((_page(h["warc-record-id"]), None, digest, "revisit", _page(h.get("warc-refers-to", "")), None, None, None, None))
                     else:
-                        rows.append((_page(h["warc-record-id"]), _checked(block, digest), digest, "response", None, None, None, None, None))
+                        rows.append((_page(h["warc-record-id"]), *_checked(block, digest), "response", None, None, None, None, None))
                     if len(rows) >= 2000 or held > 1 << 22:
                         yield _rows(rows)
                         rows, held = [], 0
@@ -206,22 +215,24 @@ def _assemble(table: pa.Table) -> pa.Table:
     block = b"".join(r["block"] for r in runs)
     if not copies or [r["segment"] for r in runs] != list(range(1, len(runs) + 1)) or totals != {len(block)}:
         raise ValueError("a segmented record is incomplete")
-    n = _checked(block, runs[0]["payload_digest"])
-    row = {"page_id": runs[0]["page_id"], "payload_bytes": n, "payload_digest": runs[0]["payload_digest"], "record_type": "response", "refers_to": None}
+    n, digest = _checked(block, runs[0]["payload_digest"])
+    row = {"page_id": runs[0]["page_id"], "payload_bytes": n, "payload_digest": digest, "record_type": "response", "refers_to": None}
     kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     return pa.Table.from_pylist([row] * copies, schema=kinds)
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """Per record: ``page_id, payload_bytes, payload_digest, record_type, refers_to``; revisits take their length from
-    the response they refer to. Damaged framing, lengths, segments or digests raise an error."""
+    """Per response or revisit: ``page_id, payload_bytes, payload_digest, record_type, refers_to``; revisits take their
+    length from the response they refer to, null where it is not among the archives. Damaged framing, lengths, segments or
+    SHA-1 digests raise an error. Records of other types are passed over; a response without a digest gets its own; a
+    record whose identifier is not one of ours has a null id."""
     spark = manifest.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     read = materialise(manifest.select("path").repartition(n, "path").mapInArrow(_read, _READ), "warc-records")
     whole = read.where("segment is null").select(*[c.split()[0] for c in _DONE.split(", ")])
     joined = read.where("segment is not null").select("page_id", "payload_digest", "origin", "segment", "total", "block").groupBy("origin").applyInArrow(_assemble, _DONE)
-    responses = whole.where("record_type = 'response'").union(joined)
-    sizes = responses.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("n"))
+    responses = whole.where("record_type = 'response'").union(materialise(joined, "warc-joined"))
+    sizes = materialise(responses.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("n")), "warc-sizes")
     visits = whole.where("record_type = 'revisit'").join(sizes, "refers_to", "left").select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return responses.union(visits)
 

@@ -74,8 +74,40 @@ def test_suffix_dedup_on_few_letters(spark):
     assert all((hashlib.sha256(bytes(r.kept_bytes)).hexdigest(), len(r.spans)) == (want[r.doc_id][4], want[r.doc_id][3]) for r in got)
 
 
+def test_cut_repeats_keeps_whole_characters(spark, odd, none):
+    """Cuts fall inside of characters; the input's own U+FFFD and columns named like the operator's stay."""
+    tail = "é" * 40 + " \ufffd same words at the end of both texts, over fifty bytes long"
+    rows = [(1, "a" + tail, "mine"), (2, "\ufffd b\ufffd 漢" + tail[1:], "mine"), (3, None, None), (4, "\ufffd", "x"), (None, "a" + tail, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {r.doc_id: (r.text, r.spans) for r in suffix_dedup.cut_repeats(df).collect()}
+    assert got == {1: rows[0][1:], 2: ("\ufffd b\ufffd 漢", "mine"), 3: (None, None), 4: ("\ufffd", "x"), None: ("", "y")}
+    assert suffix_dedup.cut_repeats(odd).columns == odd.columns and suffix_dedup.cut_repeats(none).count() == 0
+    rnd = random.Random(11)
+    base = [rnd.choice("aé漢🙂 ") for _ in range(200)]
+    rows = [(i, "".join(base[(a := rnd.randrange(150)) : a + rnd.randrange(10, 50)]) + rnd.choice("aé漢🙂") * rnd.randrange(3)) for i in range(60)]
+    want = {}
+    for i, t, *_ in ((i, t) for i, t in rows):
+        raw, seen = t.encode(), [u.encode() for j, u in rows if j < i]
+        gone = set()
+        for p in range(len(raw) - 49):
+            if any(raw[p : p + 50] in u for u in seen):
+                gone |= set(range(p, p + 50))
+        kept, at = "", 0
+        for c in t:
+            size = len(c.encode())
+            kept += "" if gone & set(range(at, at + size)) else c
+            at += size
+        want[i] = kept
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in suffix_dedup.cut_repeats(df, chunk_bytes=900, bucket_bytes=400).collect()} == want
+
+
 def test_deep_shallow_orders_like_sorting():
     rnd = random.Random(4)
+    for n in (0, 1, 2, 700):
+        wide = np.array([[rnd.choice([0, 1, 2, 255]) for _ in range(24)] for _ in range(n)], np.uint8).reshape(n, 24)
+        order, _ = suffix_dedup.deep_shallow(wide, 16)
+        assert [bytes(wide[i]) for i in order] == sorted(bytes(r) for r in wide)
     rows = [bytes(rnd.choice(b"ab") for _ in range(8)) * 3 + bytes(rnd.choice(b"ab\0") for _ in range(16)) for _ in range(500)]
     order, lcp = suffix_dedup.deep_shallow(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 40).copy())
     assert [rows[i] for i in order] == sorted(rows)
@@ -155,6 +187,23 @@ def test_warc(spark, none):
     assert sorted((r.page_id is None, r.payload_bytes, r.record_type) for r in warc.read_archives(warc.write_archives(loose)).collect()) == [(False, 70_000, "response")] * 2 + [(True, 70_000, "response")]
 
 
+def test_warc_reads_other_writers(spark, tmp_path):
+    """Version 1.0, records of other types, no digest, a digest of the coded body, foreign identifiers."""
+    body = warc.chunked(b"<p>text</p>", 4)
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    made = [warc._record("warcinfo", "urn:uuid:1", [], b"software: x\r\n"), warc._record("request", "urn:uuid:2", [], b"GET / HTTP/1.1\r\n\r\n")]
+    made += [warc._record("response", "urn:uuid:3", [("WARC-Payload-Digest", "sha1:" + warc.digest_of(body))], http + body)]
+    made += [warc._record("response", "urn:uuid:4", [], b"HTTP/1.1 200 OK\r\n\r\nplain"), warc._record("revisit", "urn:uuid:5", [], http), warc._record("metadata", "urn:uuid:6", [], b"a: b")]
+    old = b"".join(zlib.compress(zlib.decompress(m, 31).replace(b"WARC/1.1", b"WARC/1.0"), wbits=31) for m in made)
+    (tmp_path / "x.warc.gz").write_bytes(old)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", 1)], "path string, bytes long")
+    got = sorted((r.record_type, r.payload_bytes, r.payload_digest) for r in warc.read_archives(manifest).collect() if r.record_type == "response")
+    assert got == [("response", 5, warc.digest_of(b"plain")), ("response", 11, warc.digest_of(b"<p>text</p>"))]
+    (tmp_path / "bad.warc.gz").write_bytes(warc._record("response", "urn:uuid:7", [("WARC-Payload-Digest", "sha1:" + "A" * 32)], http + body))
+    with pytest.raises(Exception, match="digest"):
+        warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/bad.warc.gz", 1)], "path string, bytes long")).collect()
+
+
 def test_warc_rejects_incomplete_segments():
     parts = [{"page_id": 1, "payload_digest": "D", "origin": "o", "segment": k, "total": None, "block": b"x"} for k in (1, 3)]
     with pytest.raises(ValueError):
@@ -334,6 +383,13 @@ def test_decontamination_finds_short_items(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {1, 2, 5, 6, 7}
 
 
+def test_language_of_numerals_is_undetermined(spark):
+    rows = [(1, "le chat et la souris", "fr"), (2, "the cat and the mouse", "en"), (3, "½", None), (4, "² ²", None), (5, "٣ 四", None), (6, "Ⅷ _", None), (7, "½ a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(df, learn_from=F.lit(True)).collect()}
+    assert got[3] == got[4] == got[6] == ("und", 0.0) and got[7][0] != "und" and got[5][0] != "und"  # 四 is a letter
+
+
 def test_language_learns_every_label(spark):
     """70 labels, each with words of its own."""
     rnd = random.Random(8)
@@ -346,6 +402,27 @@ def test_language_learns_every_label(spark):
         assert sum(got[i] == name for i, _, name in rows) >= 0.97 * len(rows)
 
 
+def test_quality_verdicts_follow_an_independent_fit(spark):
+    """``kept`` and the estimated accuracies against a plain row-by-row expectation-maximisation."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    measured = quality_rules.figures(rows, "text", [F.col("doc_id")])
+    names = list(quality_rules.RULES)
+    votes = {r[0]: [r[k] for k in names] for r in measured.select("doc_id", *[rule().alias(k) for k, rule in quality_rules.RULES.items()]).collect()}
+    prior = np.array(quality_rules.PRIOR)
+    cast = np.array([[[v == 0, v == 1, v is None] for v in vs] for vs in votes.values()], float)
+    share, table = 0.9, np.repeat((prior / prior.sum(1, keepdims=True))[None], len(names), 0)
+    for _ in range(200):
+        odds = np.log(share / (1 - share)) + (cast[:, :, :2] * np.log(table[:, 0] / table[:, 1])[None, :, :2]).sum((1, 2))
+        p = 1 / (1 + np.exp(-odds))
+        share = (9 + p.sum()) / (10 + len(p))
+        tally = np.stack([(cast * p[:, None, None]).sum(0), (cast * (1 - p)[:, None, None]).sum(0)], 1) + prior
+        table = tally / tally.sum(2, keepdims=True)
+    odds = np.log(share / (1 - share)) + (cast[:, :, :2] * np.log(table[:, 0] / table[:, 1])[None, :, :2]).sum((1, 2))
+    want = dict(zip(votes, 1 / (1 + np.exp(-odds)), strict=True))
+    for r in quality_rules.score(rows).collect():
+        assert abs(r.p_good - want[r.doc_id]) < 1e-6 and r.kept == (not r.base_failed and want[r.doc_id] >= 0.5)
+
+
 def test_quality_of_a_very_long_text(spark):
     """Repeats at places past 2 ** 22: one three-word window stands twice there."""
     n = 4_200_000
