@@ -58,8 +58,8 @@ _plan(
     ],
     "select o_orderpriority, cast(count(*) as bigint) as n, round(sum(l_extendedprice*(1-l_discount)),2) as revenue from lineitem join orders on l_orderkey=o_orderkey where l_returnflag='R' and l_quantity>=30 group by 1",
 )
-_plan("filter_cmp", ["orders"], [{"op": "filter", "where": {"all": [{"field": "o_orderkey", "gt": 100}, {"field": "o_orderkey", "lte": 9000}, {"field": "o_totalprice", "gte": 1000.5}, {"field": "o_custkey", "lt": 900}, {"field": "o_orderstatus", "ne": "P"}]}}, _select("o_orderkey", "o_orderstatus")],
-      "select o_orderkey, o_orderstatus from orders where o_orderkey > 100 and o_orderkey <= 9000 and o_totalprice >= 1000.5 and o_custkey < 900 and o_orderstatus <> 'P'")
+_plan("filter_cmp", ["orders"], [{"op": "filter", "where": {"all": [{"field": "o_totalprice", "gt": 1000.5}, {"field": "o_totalprice", "lte": 400000}, {"field": "o_orderpriority", "gte": "2-HIGH"}, {"field": "o_orderpriority", "lt": "5-LOW"}, {"field": "o_orderstatus", "ne": "P"}]}}, _select("o_orderkey", "o_orderstatus")],
+      "select o_orderkey, o_orderstatus from orders where o_totalprice > 1000.5 and o_totalprice <= 400000 and o_orderpriority >= '2-HIGH' and o_orderpriority < '5-LOW' and o_orderstatus <> 'P'")
 _plan("filter_in_not_in", ["orders"], [{"op": "filter", "where": {"all": [{"field": "o_orderstatus", "in": ["F", "P"]}, {"field": "o_orderpriority", "not_in": ["1-URGENT", "5-LOW"]}]}}, _select("o_orderkey", "o_orderpriority")],
       "select o_orderkey, o_orderpriority from orders where o_orderstatus in ('F','P') and o_orderpriority not in ('1-URGENT','5-LOW')")
 _plan("filter_not_in_null", ["orders"], [{"op": "filter", "where": {"field": "o_orderstatus", "not_in": ["F", None]}}, _select("o_orderkey")], "select o_orderkey from orders where o_orderstatus not in ('F', null)")
@@ -128,17 +128,17 @@ def _unflatten(spark, sf_dir):
     return Engine(spark).over({"t": _nested(spark, sf_dir)}, steps).visible
 
 
-_SIDES = [{"id": "l", "op": "filter", "source": "customer", "where": {"field": "c_custkey", "lt": 1000}}, {"id": "r", "op": "filter", "source": "orders", "where": {"field": "o_custkey", "gte": 500}}]
+_SIDES = [{"id": "l", "op": "filter", "source": "customer", "where": {"field": "c_acctbal", "lt": 5000}}, {"id": "r", "op": "filter", "source": "orders", "where": {"field": "o_totalprice", "gte": 100000}}]
 for _how in ("inner", "left", "right", "full"):
     _plan(f"join_{_how}", ["customer", "orders"], [*_SIDES, {"op": "join", "left": "l", "right": "r", "type": _how, "on": [["c_custkey", "o_custkey"]]}, _select("c_custkey", "c_name", "o_orderkey", "o_custkey")],
-          f"select c_custkey, c_name, o_orderkey, o_custkey from (select * from customer where c_custkey < 1000) {_how} join (select * from orders where o_custkey >= 500) on c_custkey = o_custkey")
+          f"select c_custkey, c_name, o_orderkey, o_custkey from (select * from customer where c_acctbal < 5000) {_how} join (select * from orders where o_totalprice >= 100000) on c_custkey = o_custkey")
 _plan("join_multi_key", ["lineitem", "orders"], [{"id": "o", "op": "derive", "source": "orders", "field": "line", "expr": _V(1)}, {"op": "join", "left": "lineitem", "right": "o", "on": [["l_orderkey", "o_orderkey"], ["l_linenumber", "line"]]}, _select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey")],
       "select l_orderkey, l_linenumber, l_partkey, o_custkey from lineitem join orders on l_orderkey = o_orderkey and l_linenumber = 1")
 _plan("join_collision_prefix", {"a": "nation", "b": "nation"}, [{"op": "join", "left": "a", "right": "b", "on": [["n_regionkey", "n_nationkey"]], "right_prefix": "up_"}],
       "select a.n_nationkey, a.n_name, a.n_regionkey, b.n_nationkey as up_n_nationkey, b.n_name as up_n_name, b.n_regionkey as up_n_regionkey from nation a join nation b on a.n_regionkey = b.n_nationkey")
 
 
-@_code("join_effects", """with l as (select * from customer where c_custkey < 1000), r as (select * from orders where o_custkey >= 500),
+@_code("join_effects", """with l as (select * from customer where c_acctbal < 5000), r as (select * from orders where o_totalprice >= 100000),
 lc as (select c_custkey k, count(*) n from l group by 1), rc as (select o_custkey k, count(*) n from r group by 1)
 select cast(coalesce(sum(case when lc.k is not null and rc.k is not null then lc.n*rc.n end),0) as bigint) as matched_pairs, cast(coalesce(sum(case when rc.k is not null then lc.n end),0) as bigint) as left_matched,
 cast(coalesce(sum(case when lc.k is not null then rc.n end),0) as bigint) as right_matched, cast(coalesce(sum(case when rc.k is null then lc.n end),0) as bigint) as left_unmatched,
@@ -163,10 +163,8 @@ _plan("group_count_distinct", ["lineitem"], [{"op": "group", "by": ["l_returnfla
 
 @_code("sort_nulls_last", f"select c_custkey, o_orderkey, cast(row_number() over (order by o_orderkey desc nulls last, c_custkey asc nulls last) as bigint) as place from {_LEFT}")
 def _sort(spark, sf_dir):
-    from pyspark.sql import Window
-
     frame = Engine(spark).over(_tables(spark, sf_dir, ["customer", "orders"]), [*_NULLS, {"op": "sort", "by": [{"field": "o_orderkey", "direction": "desc"}, "c_custkey"]}])
-    return frame.df.select("c_custkey", "o_orderkey", F.row_number().over(Window.orderBy(*frame.keys())).cast("long").alias("place"))
+    return frame.numbered("place").select("c_custkey", "o_orderkey", "place")
 
 
 _plan("sort_limit_offset", ["orders"], [{"op": "sort", "by": [{"field": "o_totalprice", "direction": "desc"}, "o_orderkey"]}, {"op": "limit", "count": 40, "offset": 15}, _select("o_orderkey", "o_totalprice")], "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 40 offset 15")
@@ -209,7 +207,8 @@ _SCHEMA = {"type": "object", "required": ["p_partkey"], "properties": {"p_partke
 @_code("schema_validate_counts", "select cast(count(*) as bigint) as rows, cast(count(*) filter (where p_partkey < 10 or p_size > 40 or p_size % 2 <> 0 or length(p_name) < 3 or p_brand not in ('Brand#11','Brand#12','Brand#13')) as bigint) as bad from part")
 def _schema(spark, sf_dir):
     frame = parquet(spark, f"{sf_dir}/part.parquet")
-    return frame.df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~checks.compiled(frame, _SCHEMA)).alias("bad"))
+    failing = checks.row_failures(frame, _SCHEMA).select(*frame.carried()).distinct().agg(F.count(F.lit(1)).alias("bad"))
+    return frame.df.agg(F.count(F.lit(1)).alias("rows")).select("rows", failing.scalar().alias("bad"))
 
 
 @_code("schema_row_failures", "select keyword, cast(count(*) as bigint) as n from (select 'minimum' as keyword from part where p_partkey < 10 union all select 'maximum' from part where p_size > 40 union all select 'multipleOf' from part where p_size % 2 <> 0 union all select 'enum' from part where p_brand not in ('Brand#11','Brand#12','Brand#13')) group by 1")
@@ -217,14 +216,15 @@ def _schema_rows(spark, sf_dir):
     return checks.row_failures(parquet(spark, f"{sf_dir}/part.parquet"), _SCHEMA).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CHANGED = "select o_orderkey, o_custkey, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as o_orderstatus from orders where o_orderkey % 11 <> 0 union all select o_orderkey + 10000000, o_custkey, o_orderstatus from orders where o_orderkey % 13 = 0"
+_CHANGED = "select o_orderkey, o_custkey, case when o_totalprice > 420000 then 'X' else o_orderstatus end as o_orderstatus from orders where o_totalprice >= 40000 union all select -1 - o_orderkey, o_custkey, o_orderstatus from orders where o_orderpriority = '3-MEDIUM'"
 
 
 def _two(spark, sf_dir):
-    left = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
-    changed = left.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))).where("o_orderkey % 11 <> 0")
-    more = left.where("o_orderkey % 13 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000)
-    return Frame(left), Frame(changed.union(more))
+    """The orders, and the orders with some rows changed, some gone and some added."""
+    orders, names = spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderkey", "o_custkey", "o_orderstatus"]
+    changed = orders.where("o_totalprice >= 40000").withColumn("o_orderstatus", F.when(F.col("o_totalprice") > 420_000, "X").otherwise(F.col("o_orderstatus")))
+    more = orders.where("o_orderpriority = '3-MEDIUM'").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
+    return Frame(orders.select(*names)), Frame(changed.select(*names).union(more.select(*names)))
 
 
 @_code("diff_keyed", f"with r as ({_CHANGED}) select coalesce(l.o_orderkey, r.o_orderkey) as o_orderkey, case when l.o_orderkey is null then 'added' when r.o_orderkey is null then 'removed' else 'changed' end as state from orders l full join r on l.o_orderkey = r.o_orderkey where l.o_orderkey is null or r.o_orderkey is null or l.o_custkey is distinct from r.o_custkey or l.o_orderstatus is distinct from r.o_orderstatus")
@@ -244,11 +244,13 @@ def _profile(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    """A fresh folder all executors see; the temporary folder only where the session names none (local runs)."""
+    """A fresh folder all executors see; the temporary folder only in a local session that names none."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
 
 
 @_code("parquet_roundtrip", "select p_partkey, p_name, p_size, p_retailprice from part")

@@ -66,6 +66,14 @@ class Frame:
         df = self.df.orderBy(*[k.column() for k in self.order]) if self.order else self.df
         return df.select(*[quoted(c) for c in self.columns])
 
+    def numbered(self, name: str) -> DataFrame:
+        """The frame's rows with their place from 1: sorted over partitions, each of which starts after the sizes of those
+        before it, so that no task holds all rows."""
+        spark = self.df.sparkSession
+        at = self.df.schema.add(name, "long")
+        placed = (self.df.orderBy(*self.keys()) if self.order else self.df).rdd.zipWithIndex()
+        return spark.createDataFrame(placed.map(lambda x: (*x[0], x[1] + 1)), at)
+
     def keys(self, flip: bool = False) -> list[Column]:
         return [k.column(flip) for k in self.order] or [F.lit(1)]
 

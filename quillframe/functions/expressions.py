@@ -25,6 +25,16 @@ def _numeric(frame: Frame, columns: list[Column], op: str) -> None:
         need(got in NUMERIC or got == "null", "E_TYPE_MISMATCH", f"{op} needs numbers, got {got}")
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """Halves of the scaled binary value away from zero. Spark's own ``round`` goes by a double's shortest spelling, where
+    19570.815 is a half although the value is below it. From 2**52 on a scaled value is whole; NaN and infinity stay."""
+    factor = float(10 ** abs(digits))
+    scaled = F.abs(x * factor if digits >= 0 else x / factor)
+    whole = F.floor(scaled)
+    up = (whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)).cast("double") * F.signum(x)
+    return F.when(scaled >= float(1 << 52), x).otherwise(up / factor if digits >= 0 else up * factor)
+
+
 def expression(frame: Frame, spec: dict) -> Column:
     (op, arg), *_ = spec.items()
     if op == "field":
@@ -72,5 +82,7 @@ def expression(frame: Frame, spec: dict) -> Column:
         inner, digits = (expression(frame, arg), 0) if isinstance(arg, dict) else (expression(frame, arg[0]), arg[1] if len(arg) > 1 else 0)
         need(-30 <= digits <= 30, "E_EXPRESSION_INVALID", "round takes -30 to 30 digits")
         _numeric(frame, [inner], op)
+        if isinstance(_kind(frame, inner), (T.DoubleType, T.FloatType)):
+            return _rounded(inner.cast("double"), digits)
         return F.round(inner, digits)
     raise PlanError("E_EXPRESSION_INVALID", f"unknown expression {op!r}")

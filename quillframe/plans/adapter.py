@@ -30,10 +30,13 @@ def target_fields(schema: dict) -> tuple[list[dict] | None, str]:
     return out, ""
 
 
-def suggestions(target: str, sources: list[str]) -> list[str]:
+def suggestions(target: str, sources: list[str]) -> tuple[list[dict], dict]:
+    """Source fields for a target, each with how it was found, and the totals where the list is cut."""
     if target in sources:
-        return [target]
-    return [s for s in sources if folded(s.split(".")[-1]) == folded(target)][:SUGGESTIONS]
+        return [{"source": target, "method": "exact"}], {}
+    near = sorted(s for s in sources if folded(s) == folded(target))
+    listed = [{"source": s, "method": "normalized"} for s in near[:SUGGESTIONS]]
+    return listed, {"total": len(near), "returned": SUGGESTIONS} if len(near) > SUGGESTIONS else {}
 
 
 _TYPES = {"bigint": "integer", "int": "integer", "string": "string", "boolean": "boolean", "double": "number", "float": "number"}
@@ -44,12 +47,14 @@ def json_type(spark_type: str) -> str:
     return _TYPES.get(base) or {"decimal": "number", "array": "array", "struct": "object", "map": "object"}.get(base, "string")
 
 
-def fits(source: str, null_rows: int, target: str | None) -> str:
+def fits(source: set[str], null_rows: int, target: str | None) -> str:
+    """``source`` holds every type the field's values have; all of them must fit."""
     if target is None:
         return "schema_validation"
     if null_rows and target != "null":
         return "incompatible"
-    return "compatible" if source == target or (source == "integer" and target == "number") else "incompatible"
+    taken = {target, "integer"} if target == "number" else {target}
+    return "compatible" if source <= taken else "incompatible"
 
 
 def score(fields: list[dict], sources: list[str], mappings: dict) -> int:
@@ -75,20 +80,20 @@ def adapt(shape: dict, schema: dict, mappings: dict | None = None, source: dict
         if shape.get("record_sets_truncated") or len(best) != 1:
             return {"status": "needs_source_selection", "candidates": [s["selector"] for s in best]}
         chosen = best[0]
-        known = {f["path"]: (f["type"] if f["type"] != "decimal" else "number", f["null"] + f["missing"]) for f in chosen["fields"]}
+        known = {f["path"]: ({"number" if t == "decimal" else t for t in f["types"]} or {"null"}, f["null"] + f["missing"]) for f in chosen["fields"]}
     else:
-        known = {f["name"]: (json_type(f["type"]), f.get("null_count", 0)) for f in shape["fields"]}
+        known = {f["name"]: ({json_type(f["type"])}, f.get("null_count", 0)) for f in shape["fields"]}
     used, mapped, unresolved, omitted = [], [], [], []
     for t in fields:
         found = mappings.get(t["name"])
-        options = [found] if found else suggestions(t["name"], list(known))
-        pick = options[0] if len(options) == 1 and options[0] in known else None
+        options, cut = ([{"source": found, "method": "given"}], {}) if found else suggestions(t["name"], list(known))
+        pick = options[0]["source"] if len(options) == 1 and options[0]["source"] in known else None
         fit = fits(*known[pick], t["type"]) if pick else None
         if pick and fit != "incompatible":
             mapped.append({"target": t["name"], "source": pick, "compatibility": fit})
             used.append(pick)
         elif t["required"]:
-            unresolved.append({"target": t["name"], "suggestions": options, **({"compatibility": fit} if fit else {})})
+            unresolved.append({"target": t["name"], "suggestions": options, **({"suggestions_truncated": cut} if cut else {}), **({"compatibility": fit} if fit else {})})
         else:
             omitted.append(t["name"])
     out = {"status": "needs_mapping" if unresolved else "ready", "mappings": mapped, "unresolved": unresolved, "omitted": omitted, "dropped": [k for k in known if k not in used], "duplicated": sorted({u for u in used if used.count(u) > 1})}

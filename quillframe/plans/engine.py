@@ -33,6 +33,13 @@ SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.decimalOperations.al
 _EFFECT_CAP = 1000
 
 
+def _capped(effects: dict) -> dict:
+    """Long lists cut, with what they held in all."""
+    long = {k: len(v) for k, v in effects.items() if isinstance(v, list) and k != "warnings" and len(v) > _EFFECT_CAP}
+    cut = {k: v[:_EFFECT_CAP] if k in long else v for k, v in effects.items()}
+    return cut | ({"truncated": {k: {"total": n, "returned": _EFFECT_CAP} for k, n in long.items()}} if long else {})
+
+
 @dataclass
 class Step:
     id: str
@@ -198,12 +205,12 @@ class Engine:
         for s in steps:
             e: dict = {"id": s.id, "op": s.op}
             if s.data.kind == "tree":
-                e |= {k: v[:_EFFECT_CAP] for k, v in trees.changes(data[s.inputs[0]].value, s.data.value).items()}
-                warnings = [{"code": "W_TREE_PATHS_REMOVED", "paths": e["removed"]}] if e["removed"] else []
+                e |= trees.changes(data[s.inputs[0]].value, s.data.value)
+                warnings = [{"code": "W_TREE_PATHS_REMOVED", "paths": e["removed"][:_EFFECT_CAP], "total": len(e["removed"])}] if e["removed"] else []
             else:
                 before, after = data[s.inputs[0]].frame, s.data.frame
-                e |= {"fields_added": [c for c in after.columns if c not in before.columns][:_EFFECT_CAP], "fields_removed": [c for c in before.columns if c not in after.columns][:_EFFECT_CAP]}
-                e["type_changes"] = [{"field": c, "from": exact(before, c).simpleString(), "to": exact(after, c).simpleString()} for c in after.columns if c in before.columns and exact(before, c) != exact(after, c)][:_EFFECT_CAP]
+                e |= {"fields_added": [c for c in after.columns if c not in before.columns], "fields_removed": [c for c in before.columns if c not in after.columns]}
+                e["type_changes"] = [{"field": c, "from": exact(before, c).simpleString(), "to": exact(after, c).simpleString()} for c in after.columns if c in before.columns and exact(before, c) != exact(after, c)]
                 warnings = [w for w in after.warnings if w not in before.warnings] if s.op != "join" else []
                 if full:
                     e |= {"rows_in": n(s.inputs[0]), "rows_out": n(s.id)}
@@ -224,7 +231,7 @@ class Engine:
                         lost = {"left": m["left_unmatched"], "right": m["right_unmatched"], "full": m["left_unmatched"] + m["right_unmatched"]}.get(s.spec.get("type", "inner"), 0)
                         warnings += [{"code": "W_NULLS_INTRODUCED", "rows": lost}] if lost else []
             e["warnings"] = warnings
-            out.append(e)
+            out.append(_capped(e))
         return out
 
     def transform(self, plan: dict, dry_run: bool | None = None, effects: str = "full") -> dict:

@@ -60,7 +60,7 @@ def field_profile(rows: list[dict]) -> list[dict]:
             return
         present = [v for v in values if v is not None]
         types = sorted({_type_name(v) for v in present})
-        entry = {"path": path, "type": types[0] if len(types) == 1 else "mixed" if types else "null", "nullable": len(present) < parents, "missing": parents - len(values), "null": len(values) - len(present)}
+        entry = {"path": path, "type": types[0] if len(types) == 1 else "mixed" if types else "null", "types": types, "nullable": len(present) < parents, "missing": parents - len(values), "null": len(values) - len(present)}
         lists = [v for v in present if isinstance(v, list)]
         if lists:
             entry |= {"min_length": min(map(len, lists)), "max_length": max(map(len, lists))}

@@ -1,27 +1,25 @@
-"""Selectors: optional ``$``, names, ``[n]`` and ``[*]``."""
+"""Selectors: an optional ``$`` (and dot), then names, ``[n]`` and ``[*]``; an empty one is the whole value."""
 
 from __future__ import annotations
 
 import re
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 
-_PART = re.compile(r"\.?([A-Za-z_][A-Za-z0-9_-]*)|\[(\d+|\*)\]")
+_STEP = r"[A-Za-z_][A-Za-z0-9_-]*|\[(?:[0-9]+|\*)\]"
+#: A name needs a dot before it unless it comes first; a bracket may have one.
+_WHOLE = re.compile(rf"(?:{_STEP})(?:\.(?:{_STEP})|\[(?:[0-9]+|\*)\])*")
+_STEPS = re.compile(_STEP)
 
 
 def parsed(selector: str) -> list:
     """Parts: strings are names, ints are places, None is every element."""
-    rest = selector[1:] if selector.startswith("$") else selector
-    parts, at = [], 0
-    while at < len(rest):
-        m = _PART.match(rest, at)
-        lone = m and m[1] and not rest[at] == "." and (parts or (selector.startswith("$")))
-        if not m or lone or (m[1] and rest[at] == "." and not parts and not selector.startswith("$")):
-            raise PlanError("E_SELECTOR_SYNTAX", f"selector {selector!r} is not valid", {"position": at})
-        parts.append(m[1] if m[1] else None if m[2] == "*" else int(m[2]))
-        at = m.end()
-    need(bool(parts) or selector == "$", "E_SELECTOR_SYNTAX", f"selector {selector!r} is empty")
-    return parts
+    path = re.sub(r"^\$\.?", "", selector.strip())
+    fits = _WHOLE.match(path)
+    if path and (not fits or fits.end() < len(path)):
+        raise PlanError("E_SELECTOR_SYNTAX", f"selector {selector!r} is not valid", {"position": fits.end() if fits else 0})
+    steps = _STEPS.findall(path)
+    return [s if s[0] != "[" else None if s == "[*]" else int(s[1:-1]) for s in steps]
 
 
 def selected(value, selector: str):
@@ -29,15 +27,15 @@ def selected(value, selector: str):
     for part in parsed(selector):
         found = []
         for v in now:
-            if part is None:
-                need(isinstance(v, list), "E_SELECTOR_TYPE", "[*] needs an array")
-                found += v
-            elif isinstance(part, int):
-                need(isinstance(v, list), "E_SELECTOR_TYPE", "[n] needs an array")
-                need(part < len(v), "E_SELECTOR_NOT_FOUND", f"no element {part}", selector=selector)
+            if not isinstance(part, str):
+                if not isinstance(v, list):
+                    raise PlanError("E_SELECTOR_TYPE", "[n] and [*] need an array")
+                if part is not None and part >= len(v):
+                    raise PlanError("E_SELECTOR_NOT_FOUND", f"no element {part}", {"selector": selector})
+                found += v if part is None else [v[part]]
+            elif isinstance(v, dict) and part in v:
                 found.append(v[part])
             else:
-                need(isinstance(v, dict) and part in v, "E_SELECTOR_NOT_FOUND", f"no field {part!r}", selector=selector)
-                found.append(v[part])
+                raise PlanError("E_SELECTOR_NOT_FOUND", f"no field {part!r}", {"selector": selector})
         now, many = found, many or part is None
     return now if many else now[0]

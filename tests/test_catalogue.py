@@ -3,7 +3,7 @@ import pytest
 from quillframe.catalogue import ORACLE_SQL, QUERIES
 from tests.oracle import connection, differences
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
