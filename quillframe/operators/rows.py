@@ -100,11 +100,15 @@ def cast(frame: Frame, step: dict) -> Frame:
     return frame.project([(_cast(quoted(c), kinds[c], to[c]) if c in to else quoted(c)).alias(c) for c in frame.columns])
 
 
+def lossy_columns(frame: Frame, step: dict) -> list[Column]:
+    """Aggregates: the rows that each cast changes beyond return, for casts that can."""
+    checks = {n: _lossy(quoted(n), exact(frame, n), t) for n, t in _cast_map(step).items()}
+    return [F.count_if(c).alias(n) for n, c in checks.items() if c is not None]
+
+
 def lossy_counts(frame: Frame, step: dict):
-    """One-row DataFrame of rows that each cast changes beyond return; None if no cast can."""
-    to = _cast_map(step)
-    checks = {n: _lossy(quoted(n), exact(frame, n), t) for n, t in to.items()}
-    columns = [F.count_if(c).alias(n) for n, c in checks.items() if c is not None]
+    """One-row DataFrame of those counts; None if no cast can lose anything."""
+    columns = lossy_columns(frame, step)
     return frame.df.agg(*columns) if columns else None
 
 

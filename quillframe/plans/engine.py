@@ -1,7 +1,8 @@
 """The four verbs: inspect, transform, validate and diff.
 
 ``Engine.frames`` compiles a plan to lazy frames and runs nothing; the verbs add counting, checking and publishing.
-Row counts per step are jobs of their own and are made only where effects are asked for in full.
+Row counts of all steps, the figures behind warnings and the forcing of casts and arithmetic are observed in one pass over
+the plan (one more for each ``limit``, since that need not read all of its input).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import threading
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
@@ -76,17 +77,90 @@ class Engine:
             raise rows.unknown(step)
         return names, Data("table", _TABULAR[step["op"]](got[0].frame, step))
 
-    def _strictly(self, step: dict, before: Frame, after: Frame) -> None:
-        """Casts and arithmetic fail where they stand, even if a later step would drop the bad rows or the column."""
+    @staticmethod
+    def _forced(step: dict) -> list[str]:
+        """Columns that must be computed where they stand: casts and arithmetic fail there, even if a later step would
+        drop the bad rows or the column."""
         if step["op"] == "cast":
-            names = list(step.get("fields") or {step["field"]: 0})
-        elif step["op"] == "derive" and any(k in str(step["expr"]) for k in ("divide", "add", "subtract", "multiply")):
-            names = [step["field"]]
-        else:
-            return
-        after.df.agg(*[F.count(quoted(n)) for n in names]).collect()
+            return list(step.get("fields") or {step["field"]: 0})
+        if step["op"] == "derive" and any(k in str(step["expr"]) for k in ("divide", "add", "subtract", "multiply")):
+            return [step["field"]]
+        return []
 
-    def run_steps(self, plan: dict, limits: Limits, strict: bool) -> tuple[dict[str, Data], list[Step]]:
+    def _blamed(self, steps: list[Step]) -> None:
+        """Find the step at which an observed pass failed: each step's forced columns in a job of their own."""
+        for s in steps:
+            names = self._forced(s.spec) if s.data.kind == "table" else []
+            if names:
+                try:
+                    s.data.frame.df.agg(*[F.count(quoted(n)) for n in names]).collect()
+                except Exception as e:
+                    raise translated(e, s.id) from e
+
+    def _measured(self, data: dict[str, Data], steps: list[Step], sources: list[str], full: bool) -> dict[str, dict]:
+        """Figures of each named table (``n`` rows) and of inputs of explodes and casts (``in:<step>``), from passes over a
+        copy of the plan in which each of them is observed. What a pass did not reach (a side that adaptive execution left
+        out because the other is empty) is counted on its own."""
+        tag = uuid.uuid4().hex
+        seen: dict[str, Data] = {}
+
+        def watched(name: str, frame: Frame, figures: list) -> Frame:
+            return replace(frame, df=frame.df.observe(f"{tag}:{name}", *figures))
+
+        rows_of = lambda names: [F.count(F.lit(1)).alias("n"), *[F.count(quoted(c)).alias(f"forced{i}") for i, c in enumerate(names)]]
+        for name in sources:
+            d = data[name]
+            seen[name] = replace(d, frame=watched(name, d.frame, rows_of([]))) if d.kind == "table" else d
+        asked: dict[str, tuple[Frame, list]] = {}
+        for s in steps:
+            if s.data.kind != "table":
+                seen[s.id] = s.data
+                continue
+            first = seen[s.inputs[0]]
+            figures = []
+            if full and s.op == "explode":
+                figures = [F.count_if(F.coalesce(F.size(quoted(s.spec["field"])), F.lit(0)) <= 0).alias("empty")]
+            if full and s.op == "cast":
+                figures = rows.lossy_columns(first.frame, s.spec)
+            inputs = dict(seen)
+            if figures:
+                asked[f"in:{s.id}"] = (data[s.inputs[0]].frame, figures)
+                inputs[s.inputs[0]] = replace(first, frame=watched(f"in:{s.id}", first.frame, figures))
+            out = self.apply(s.spec, inputs, s.inputs[0], sources)[1]
+            seen[s.id] = replace(out, frame=watched(s.id, out.frame, rows_of(self._forced(s.spec))))
+        above = {s.id: s for s in steps}
+
+        def reached(name: str) -> set[str]:
+            """The tables that a pass to ``name`` surely reads in full."""
+            names = {name}
+            s = above.get(name)
+            if s is not None:
+                names |= {f"in:{name}"} if f"in:{name}" in asked else set()
+                for i in s.inputs if s.op != "limit" else []:
+                    names |= reached(i)
+            return names
+
+        tables = [n for n in (*sources, *above) if seen[n].kind == "table"]
+        wanted = set(tables) | set(asked) if full else {s.id for s in steps if self._forced(s.spec)}
+        got: dict[str, dict] = {}
+        for name in reversed(tables):
+            todo = reached(name) & wanted - set(got)
+            if not todo:
+                continue
+            job = seen[name].frame.df.agg(F.count(F.lit(1)))
+            job.collect()
+            found = job._jdf.queryExecution().observedMetrics().iterator()
+            while found.hasNext():
+                entry = found.next()
+                label, row = entry._1().removeprefix(f"{tag}:"), entry._2()
+                if label in todo:
+                    got[label] = {c: row.get(i) for i, c in enumerate(row.schema().fieldNames())}
+            for label in sorted(todo - set(got)):
+                frame, figures = asked[label] if label in asked else (data[label].frame, rows_of(self._forced(above[label].spec) if label in above else []))
+                got[label] = frame.df.agg(*figures).first().asDict()
+        return got
+
+    def run_steps(self, plan: dict, limits: Limits) -> tuple[dict[str, Data], list[Step]]:
         need(len(plan["sources"]) <= limits.max_sources, "E_SOURCE_LIMIT", "too many sources")
         need(len(plan["steps"]) <= limits.max_steps, "E_STEP_LIMIT", "too many steps")
         data = {name: load(self.spark, spec, limits, self.root) for name, spec in plan["sources"].items()}
@@ -98,8 +172,6 @@ class Engine:
             try:
                 need(sid not in data, "E_DUPLICATE_ID", f"{sid!r} is taken", id=sid)
                 names, out = self.apply(step, data, done[-1].id if done else None, list(plan["sources"]))
-                if strict and out.kind == "table":
-                    self._strictly(step, data[names[0]].frame, out.frame)
             except Exception as e:
                 raise translated(e, sid) from e
             data[sid] = out
@@ -109,12 +181,12 @@ class Engine:
     def frames(self, plan: dict) -> dict[str, Data]:
         """Every named dataset of a plan, lazily; nothing is run but what schemas need."""
         checked = model.plan(plan)
-        return self.run_steps(checked, Limits.of(checked.get("limits"), enforce=False), False)[0]
+        return self.run_steps(checked, Limits.of(checked.get("limits"), enforce=False))[0]
 
     def frame(self, plan: dict) -> Frame:
         """The last step's frame."""
         checked = model.plan(plan)
-        return self.run_steps(checked, Limits.of(checked.get("limits"), enforce=False), False)[1][-1].data.frame
+        return self.run_steps(checked, Limits.of(checked.get("limits"), enforce=False))[1][-1].data.frame
 
     def over(self, tables: dict[str, Frame], steps: list[dict]) -> Frame:
         """Steps over frames that are at hand, compiled lazily; how a program uses plans on tables of its own."""
@@ -169,11 +241,6 @@ class Engine:
             return e.envelope(operation)
         return self._within(limits, operation, lambda: work(limits))
 
-    def _rows(self, frame: Frame, limits: Limits) -> int:
-        n = frame.df.count()
-        need(not limits.enforce or n <= limits.max_rows, "E_ROW_LIMIT", "a table exceeds the row budget", rows=n)
-        return n
-
     # ------------------------------------------------------------ verbs
 
     def inspect(self, source: dict, sample_rows: int = 5, target_schema: dict | None = None, mappings: dict | None = None, limits: dict | None = None) -> dict:
@@ -193,14 +260,8 @@ class Engine:
 
         return self._guarded("inspect", limits, None, work)
 
-    def _effects(self, steps: list[Step], data: dict[str, Data], limits: Limits, full: bool) -> list[dict]:
-        counts: dict[str, int] = {}
-
-        def n(name: str) -> int:
-            if name not in counts:
-                counts[name] = self._rows(data[name].frame, limits)
-            return counts[name]
-
+    def _effects(self, steps: list[Step], data: dict[str, Data], figures: dict[str, dict], full: bool) -> list[dict]:
+        n = lambda name: figures[name]["n"]
         out = []
         for s in steps:
             e: dict = {"id": s.id, "op": s.op}
@@ -218,10 +279,10 @@ class Engine:
                     if s.op == "dedupe" and e["rows_delta"]:
                         warnings.append({"code": "W_ROWS_DEDUPED", "rows": -e["rows_delta"]})
                     if s.op == "explode":
-                        empty = before.df.where(F.coalesce(F.size(quoted(s.spec["field"])), F.lit(0)) <= 0).count()
+                        empty = figures[f"in:{s.id}"]["empty"]
                         warnings += [{"code": "W_EXPLODE_EMPTY", "rows": empty}] if empty else []
-                    if s.op == "cast" and (lossy := rows.lossy_counts(before, s.spec)) is not None:
-                        warnings += [{"code": "W_LOSSY_CAST", "field": f, "rows": k} for f, k in lossy.first().asDict().items() if k]
+                    if s.op == "cast":
+                        warnings += [{"code": "W_LOSSY_CAST", "field": f, "rows": k} for f, k in figures.get(f"in:{s.id}", {}).items() if k]
                     if s.op == "join":
                         right = data[s.inputs[1]].frame
                         m = groups.join_effects(before, right, s.spec).first().asDict()
@@ -244,8 +305,18 @@ class Engine:
             mode = spec.get("return", {}).get("mode", "auto")
             target = sinks.planned(spec["output"], self.root) if "output" in spec else None
             need(mode != "reference" or target is not None, "E_OUTPUT_REQUIRED", "return mode reference needs an output")
-            data, steps = self.run_steps(spec, limits, self.strict)
+            data, steps = self.run_steps(spec, limits)
             last = steps[-1].data
+            full, table = effects == "full", last.kind == "table"
+            figures: dict[str, dict] = {}
+            if full or self.strict:
+                try:
+                    figures = self._measured(data, steps, list(spec["sources"]), full)
+                except Exception:
+                    self._blamed(steps)
+                    raise
+            most = max((f.get("n", 0) for f in figures.values()), default=0)
+            need(not limits.enforce or most <= limits.max_rows, "E_ROW_LIMIT", "a table exceeds the row budget", rows=most)
             if "schema" in spec:
                 found = checks.validate_schema(last.kind, last.frame, last.value, spec["schema"])
                 need(found["valid"], "E_SCHEMA_FAILED", "the result does not meet the schema", failures=found["failures"])
@@ -253,9 +324,9 @@ class Engine:
                 found = checks.on_table(last.frame, spec["assert"]) if last.kind == "table" else checks.on_tree(last.value, spec["assert"])
                 bad = [a for a in found if not a["passed"]]
                 need(not bad, "E_ASSERTION_FAILED", "assertions failed", failures=bad)
-            audit = {"steps": self._effects(steps, data, limits, effects == "full")}
-            table = last.kind == "table"
-            n = self._rows(last.frame, limits) if table else None
+            audit = {"steps": self._effects(steps, data, figures, full)}
+            n = (figures[steps[-1].id]["n"] if full else last.frame.df.count()) if table else None
+            need(n is None or not limits.enforce or n <= limits.max_rows, "E_ROW_LIMIT", "a table exceeds the row budget", rows=n)
             sample = profile.table_sample(last.frame, limits.sample_rows) if table else profile.tree_sample(last.value)
             result: dict = {"kind": "summary"}
             if target is not None:
@@ -270,13 +341,10 @@ class Engine:
                         result = {"kind": "inline", "data": values}
                     else:
                         need(mode == "auto", "E_OUTPUT_TOO_LARGE", "the result exceeds the inline budget", bytes=size)
-            if effects == "full":
-                h = hashlib.sha256()
-                for line in (canonical({c: r[c] for c in last.frame.columns}) for r in last.frame.sorted.toLocalIterator()) if table else [canonical(last.value)]:
-                    h.update(line.encode() + b"\n")
-                audit["result_sha256"] = h.hexdigest()
+            if full:
+                audit["result_sha256"] = sinks.rows_digest(last.frame) if table else hashlib.sha256(canonical(last.value).encode() + b"\n").hexdigest()
             audit["warnings"] = [w for s in audit["steps"] for w in s["warnings"]]
-            summary = {"sources": len(spec["sources"]), "rows_in": sum(self._rows(data[s].frame, limits) for s in spec["sources"] if data[s].kind == "table"), "rows_out": n, "columns_out": len(last.frame.columns) if table else None}
+            summary = {"sources": len(spec["sources"]), "rows_in": sum(figures[s]["n"] for s in spec["sources"] if data[s].kind == "table") if full else None, "rows_out": n, "columns_out": len(last.frame.columns) if table else None}
             return {"status": "dry_run" if dry else "ok", "operation": "transform", "result": result, "summary": summary, "sample": sample, "execution_effects": audit}
 
         return self._guarded("transform", raw.get("limits") if isinstance(raw.get("limits"), dict) else None, returns, work)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from quillframe.errors import PlanError, need
 from quillframe.frame import Frame, quoted
 from quillframe.sources.readers import confined, format_of
-from quillframe.sources.values import dumps, public
+from quillframe.sources.values import canonical, dumps, public
 
 
 def planned(spec: dict, root: str | None) -> tuple[Path, str]:
@@ -91,6 +91,29 @@ def _write_rows(frame: Frame, carrier: str, to: Path) -> None:
                 out.writerow([_cell(v) for v in r])
 
 
+#: The row digest's prime modulus, and a base below it.
+_PRIME = (1 << 255) - 19
+_BASE = int.from_bytes(hashlib.sha256(b"rows in order").digest()) % _PRIME
+
+
+def rows_digest(frame: Frame) -> str:
+    """A digest of the rows in their order, whatever the partitions: rows' SHA-256 values are the digits of a number in
+    base ``_BASE`` modulo a prime. Each partition gives one such number, and the driver appends them to each other."""
+    names = frame.columns
+
+    def part(rows):
+        n, value = 0, 0
+        for r in rows:
+            line = canonical({c: r[c] for c in names}).encode()
+            n, value = n + 1, (value * _BASE + int.from_bytes(hashlib.sha256(line).digest())) % _PRIME
+        yield n, value
+
+    total, whole = 0, 0
+    for n, value in frame.sorted.rdd.mapPartitions(part).collect():
+        total, whole = total + n, (whole * pow(_BASE, n, _PRIME) + value) % _PRIME
+    return hashlib.sha256(f"{total} {whole}".encode()).hexdigest()
+
+
 def digest(path: Path) -> dict:
     h = hashlib.sha256()
     with path.open("rb") as f:
