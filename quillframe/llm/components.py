@@ -13,10 +13,12 @@ def _marks(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, name: str) -> DataFrame:
+    """Each edge's smaller end gives way to its own smallest neighbour. Only nodes that have a smaller one are written and
+    joined, fewer every round: a root with very many edges keeps them as they are, and its rows can be split."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u").select(F.col("u").alias("v"), "m"), name)
+    return edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     marks = _marks(now)
     while marks[0]:
-        after = materialise(_small_star(_large_star(now)), name)
+        after = materialise(_small_star(_large_star(now, name)), name)
         found = _marks(after)
         now, same, marks = after, found == marks, found
         if same:

@@ -13,7 +13,8 @@ a link at exactly 0.8 is not retained with probability 1e-6.
   lists of up to ``short_list`` members are joined member by member; the members of longer lists (crowds around one
   text) meet through the rarest fifth of their shingles, which is exact and does not pair a crowd with itself.
 
-Identical sets are one node from the start, whatever their number.
+Identical sets are one node from the start, whatever their number. Counts that are joined back to lists are written first,
+so that both sides of such a join are plain shuffles, which adaptive execution splits where one key has very many rows.
 """
 
 from __future__ import annotations
@@ -194,8 +195,8 @@ def _shingle_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, words
     """
     sets = materialise(members.join(texts, "id").select("id", F.lit(0).cast("long").alias("comp"), "text").mapInArrow(_sets(words), "id long, comp long, set array<long>"), "crowd")
     tokens = sets.select("id", F.explode("set").alias("token"))
-    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    ranked = tokens.join(freq, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("held"))
+    freq = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "crowd-counts")
+    ranked = tokens.join(freq, "token", "left").withColumn("freq", F.coalesce("freq", F.lit(1).cast("long"))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("held"))
     size = F.size("held")
     least = F.ceil(size * percent / 100).cast("int")
     own = F.size(F.filter("held", lambda x: x["freq"] == 1)) / size
@@ -203,7 +204,7 @@ def _shingle_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, words
     heads = materialise(heads.where("x.freq > 1").select("id", "n", "own", "pos", F.col("x.token").alias("token")), "crowd-prefixes")
     overlap = f"n - pos >= {percent} * (n + n2) / {100 + percent} - 1e-6 and n2 - pos2 >= {percent} * (n + n2) / {100 + percent} - 1e-6"
     hub = heads.groupBy("token").agg(F.min(F.struct("own", F.xxhash64("id"), "id", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
-    hub = hub.select("token", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"))
+    hub = materialise(hub.select("token", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2")), "crowd-heads")
     to_hub = heads.join(hub, "token").where("id <> id2").where(overlap).groupBy(F.col("id2").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("met"))
     to_hub = _with_root(_with_root(to_hub, roots, "u", "ru"), roots, "v", "rv").where("ru <> rv")
     best = to_hub.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("met"), "u"))).where("rank <= 3").select("u", "v")
@@ -212,7 +213,8 @@ def _shingle_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, words
     tagged = materialise(_with_root(heads.drop("own"), roots, "id", "comp"), "crowd-lists")
     per = tagged.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("cnt"))
     major = per.groupBy("token").agg(F.max(F.struct("cnt", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    lists = tagged.join(major.select("token", F.col("m.comp").alias("major")), "token")
+    major = materialise(major.select("token", F.col("m.comp").alias("major")), "crowd-majors")
+    lists = materialise(tagged.join(major, "token"), "crowd-mixed")
     left = lists.where("comp <> major").drop("major")
     right = lists.select("token", "major", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")])
     pairs = left.join(right, "token").where(f"comp <> comp2 and (comp2 = major or id < id2) and {overlap}")
@@ -233,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, num_h
     classes = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = materialise(classes, "classes")
     postings = nodes.where("rep is not null").select("rep", F.explode("sig").alias("key"))
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    shared = materialise(postings.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "shared")
     sized = nodes.select("rep", "n")
     found = postings.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("freq", "key"))).alias("held")).where(F.size("held") >= min_matches)
     held = materialise(
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, num_h
     )
     lists = held.select("rep", "n", "low", F.size("keys").alias("c"), F.explode("prefix").alias("key"))
     rank = F.struct((-F.col("c")).alias("c"), F.xxhash64("rep").alias("r"), F.col("rep"), F.col("n"), F.col("low"))
-    per_key = lists.groupBy("key").agg(F.min(rank).alias("hub"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+    per_key = materialise(lists.groupBy("key").agg(F.min(rank).alias("hub"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1"), "hubs")
     lists = materialise(lists.join(per_key, "key").select("key", "rep", "n", "low", "cnt", "hub"), "lists")
     fits = lambda a_low, a_n, b_low, b_n: (100 * a_n >= percent * b_low) & (100 * b_n >= percent * a_low)
     keys = held.select("rep", "keys")
@@ -286,7 +288,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, num_h
 
 
 def keep_first_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate component, with all their columns."""
+    """The rows of ``docs`` whose id is the smallest of its near-duplicate component, with all their columns.
+
+    Defined cases are those of ``near_duplicates``: rows without words stay, rows that share a kept id all stay, a row
+    with a null id stays only if its text has no words or equals no row's with an id; an empty table stays empty.
+    """
     kept = near_duplicates(docs, id_col=id_col, **options).where("kept").select(F.col(id_col).alias("__qf_id")).distinct()
     return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__qf_id")), "left_semi")
 
