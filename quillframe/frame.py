@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 
 HIDDEN = "__qf_"
 _numbers = itertools.count()
@@ -93,12 +93,15 @@ def field_of(frame: Frame, path: str) -> tuple[Column, T.DataType]:
     names = path.split(".")
     fields = {f.name.lower(): f for f in frame.schema.fields}
     found = fields.get(names[0].lower())
-    need(found is not None and all(names), "E_FIELD_NOT_FOUND", f"field {path!r} does not exist", field=path)
+    if not (found is not None and all(names)):
+        raise PlanError("E_FIELD_NOT_FOUND", f"field {path!r} does not exist", {"field": path})
     column, kind = quoted(found.name), found.dataType
     for name in names[1:]:
-        need(isinstance(kind, T.StructType), "E_FIELD_NOT_FOUND", f"field {path!r} does not exist", field=path)
+        if not isinstance(kind, T.StructType):
+            raise PlanError("E_FIELD_NOT_FOUND", f"field {path!r} does not exist", {"field": path})
         inner = {f.name.lower(): f for f in kind.fields}.get(name.lower())
-        need(inner is not None, "E_FIELD_NOT_FOUND", f"field {path!r} does not exist", field=path)
+        if inner is None:
+            raise PlanError("E_FIELD_NOT_FOUND", f"field {path!r} does not exist", {"field": path})
         column, kind = column.getField(inner.name), inner.dataType
     return column, kind
 
@@ -114,8 +117,10 @@ def exact(frame: Frame, name: str) -> T.DataType:
 def distinct_names(names: list[str]) -> None:
     low = [n.lower() for n in names]
     again = sorted({n for n in low if low.count(n) > 1})
-    need(not again, "E_DUPLICATE_FIELD", "output names are not unique", fields=again)
-    need(not any(n.startswith(HIDDEN) for n in low), "E_RESERVED_FIELD", f"names starting with {HIDDEN} are reserved")
+    if again:
+        raise PlanError("E_DUPLICATE_FIELD", "output names are not unique", {"fields": again})
+    if any(n.startswith(HIDDEN) for n in low):
+        raise PlanError("E_RESERVED_FIELD", f"names starting with {HIDDEN} are reserved")
 
 
 def descriptor(entry) -> tuple[str, str]:

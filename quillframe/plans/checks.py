@@ -5,12 +5,13 @@ Single-row figures of all assertions come from one aggregate; each uniqueness ch
 
 from __future__ import annotations
 
+import itertools
 import json
-import math
 import re
 from decimal import Decimal
+from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,7 +95,10 @@ def on_tree(value, assertions: list[dict]) -> list[dict]:
 _KNOWN = {
     "type", "const", "enum", "required", "properties", "additionalProperties", "items", "prefixItems", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf",
     "minLength", "maxLength", "pattern", "minItems", "maxItems", "uniqueItems", "minProperties", "maxProperties", "allOf", "anyOf", "oneOf", "not", "$ref",
+    "if", "then", "else", "patternProperties", "propertyNames", "contains", "minContains", "maxContains", "dependentRequired", "dependentSchemas", "unevaluatedProperties", "unevaluatedItems",
 }
+#: Keywords of an array of rows that need no row beside another, or only counts.
+_BY_ROW = {"type", "items", "minItems", "maxItems", "uniqueItems"}
 _NOTES = {"$schema", "$id", "$defs", "definitions", "title", "description", "default", "examples", "$comment", "format", "deprecated", "readOnly", "writeOnly"}
 
 
@@ -110,15 +114,15 @@ def checked_schema(schema, at: str = "#") -> None:
     for k in ("allOf", "anyOf", "oneOf", "prefixItems"):
         for i, s in enumerate(schema.get(k, [])):
             checked_schema(s, f"{at}/{k}/{i}")
-    for k in ("not", "items", "additionalProperties"):
+    for k in ("not", "items", "additionalProperties", "if", "then", "else", "propertyNames", "contains", "unevaluatedProperties", "unevaluatedItems"):
         if k in schema:
             checked_schema(schema[k], f"{at}/{k}")
-    for k in ("properties", "$defs", "definitions"):
+    for k in ("properties", "$defs", "definitions", "patternProperties", "dependentSchemas"):
         for n, s in schema.get(k, {}).items():
             checked_schema(s, f"{at}/{k}/{n}")
-    if "pattern" in schema:
+    for pattern in (*([schema["pattern"]] if "pattern" in schema else []), *schema.get("patternProperties", {})):
         try:
-            re.compile(schema["pattern"])
+            re.compile(pattern)
         except (re.error, TypeError) as e:
             raise PlanError("E_SCHEMA_INVALID", f"{at} has a bad pattern: {e}") from None
 
@@ -132,7 +136,7 @@ def _has_type(v, t: str) -> bool:
     if t == "number":
         return number
     if t == "integer":
-        return number and (isinstance(v, int) or v == (math.floor(v) if isinstance(v, float) else v.to_integral_value()))
+        return number and (isinstance(v, int) or (v.is_integer() if isinstance(v, float) else v.is_finite() and v == v.to_integral_value()))
     return isinstance(v, {"string": str, "array": list, "object": dict}[t])
 
 
@@ -150,6 +154,39 @@ def _dec(x) -> Decimal:
     return x if isinstance(x, Decimal) else Decimal(repr(x)) if isinstance(x, float) else Decimal(x)
 
 
+def _meets(v, schema, root) -> bool:
+    return next(failures(v, schema, root), None) is None
+
+
+def _target(root, ref: str):
+    need(ref.startswith("#"), "E_SCHEMA_INVALID", "only local references are supported", ref=ref)
+    target = root
+    for part in [p.replace("~1", "/").replace("~0", "~") for p in ref[1:].split("/") if p]:
+        need(isinstance(target, dict) and part in target, "E_SCHEMA_INVALID", "a reference leads nowhere", ref=ref)
+        target = target[part]
+    return target
+
+
+def _evaluated(v, schema, root) -> set:
+    """Properties of an object, or places of an array, that a schema which ``v`` meets has looked at."""
+    if not isinstance(schema, dict):
+        return set()
+    out: set = set()
+    if isinstance(v, dict):
+        out |= {k for k in v if k in schema.get("properties", {}) or any(re.search(p, k) for p in schema.get("patternProperties", {}))}
+        if "additionalProperties" in schema or "unevaluatedProperties" in schema:
+            out |= set(v)
+    if isinstance(v, list):
+        out |= set(range(len(v) if "items" in schema or "unevaluatedItems" in schema else min(len(v), len(schema.get("prefixItems", [])))))
+        if "contains" in schema:
+            out |= {i for i, x in enumerate(v) if _meets(x, schema["contains"], root)}
+    inside = [*schema.get("allOf", []), *schema.get("anyOf", []), *schema.get("oneOf", []), *([_target(root, schema["$ref"])] if "$ref" in schema else [])]
+    inside += [s for k, s in schema.get("dependentSchemas", {}).items() if isinstance(v, dict) and k in v]
+    if "if" in schema:
+        inside += [schema["if"], schema.get("then", True)] if _meets(v, schema["if"], root) else [schema.get("else", True)]
+    return out.union(*(_evaluated(v, s, root) for s in inside if _meets(v, s, root)))
+
+
 def failures(v, schema, root=None, path: str = "$"):
     """(path, keyword, message) of each failure, in keyword order."""
     root = schema if root is None else root
@@ -159,12 +196,7 @@ def failures(v, schema, root=None, path: str = "$"):
         yield path, "false", "nothing is allowed here"
         return
     if "$ref" in schema:
-        target, ref = root, schema["$ref"]
-        need(ref.startswith("#"), "E_SCHEMA_INVALID", "only local references are supported", ref=ref)
-        for part in [p.replace("~1", "/").replace("~0", "~") for p in ref[1:].split("/") if p]:
-            need(isinstance(target, dict) and part in target, "E_SCHEMA_INVALID", "a reference leads nowhere", ref=ref)
-            target = target[part]
-        yield from failures(v, target, root, path)
+        yield from failures(v, _target(root, schema["$ref"]), root, path)
     types = schema.get("type")
     if types is not None:
         types = types if isinstance(types, list) else [types]
@@ -174,9 +206,9 @@ def failures(v, schema, root=None, path: str = "$"):
         yield path, "const", "is not the constant"
     if "enum" in schema and not any(_same(v, e) for e in schema["enum"]):
         yield path, "enum", "is not one of the listed values"
-    if _has_type(v, "number"):
+    if _has_type(v, "number") and v == v:
         d = _dec(v)
-        for k, bad in (("minimum", lambda b: d < b), ("maximum", lambda b: d > b), ("exclusiveMinimum", lambda b: d <= b), ("exclusiveMaximum", lambda b: d >= b), ("multipleOf", lambda b: d % b != 0)):
+        for k, bad in (("minimum", lambda b: d < b), ("maximum", lambda b: d > b), ("exclusiveMinimum", lambda b: d <= b), ("exclusiveMaximum", lambda b: d >= b), ("multipleOf", lambda b: not d.is_finite() or Fraction(d) % Fraction(b))):
             if k in schema and bad(_dec(schema[k])):
                 yield path, k, f"fails {k}"
     if isinstance(v, str):
@@ -199,6 +231,12 @@ def failures(v, schema, root=None, path: str = "$"):
                 yield from failures(x, prefix[i], root, f"{path}[{i}]")
             elif "items" in schema:
                 yield from failures(x, schema["items"], root, f"{path}[{i}]")
+        if "contains" in schema:
+            n = sum(_meets(x, schema["contains"], root) for x in v)
+            if n < schema.get("minContains", 1):
+                yield path, "contains" if "minContains" not in schema else "minContains", "has too few items of a kind"
+            if n > schema.get("maxContains", n):
+                yield path, "maxContains", "has too many items of a kind"
     if isinstance(v, dict):
         for k in schema.get("required", []):
             if k not in v:
@@ -209,22 +247,40 @@ def failures(v, schema, root=None, path: str = "$"):
             yield path, "maxProperties", "has too many properties"
         known = schema.get("properties", {})
         for k, x in v.items():
-            if k in known:
-                yield from failures(x, known[k], root, f"{path}.{k}")
-            elif "additionalProperties" in schema:
+            like = [s for p, s in schema.get("patternProperties", {}).items() if re.search(p, k)]
+            for s in [*([known[k]] if k in known else []), *like]:
+                yield from failures(x, s, root, f"{path}.{k}")
+            if "propertyNames" in schema and not _meets(k, schema["propertyNames"], root):
+                yield path, "propertyNames", f"{k!r} is not a valid name"
+            if k not in known and not like and "additionalProperties" in schema:
                 extra = schema["additionalProperties"]
                 if extra is False:
                     yield path, "additionalProperties", f"{k!r} is not allowed"
                 else:
                     yield from failures(x, extra, root, f"{path}.{k}")
+        for k, needed in schema.get("dependentRequired", {}).items():
+            for other in needed if k in v else []:
+                if other not in v:
+                    yield path, "dependentRequired", f"{other!r} is missing beside {k!r}"
+        for k, s in schema.get("dependentSchemas", {}).items():
+            if k in v:
+                yield from failures(v, s, root, path)
     for s in schema.get("allOf", []):
         yield from failures(v, s, root, path)
-    if "anyOf" in schema and all(any(True for _ in failures(v, s, root, path)) for s in schema["anyOf"]):
+    if "anyOf" in schema and not any(_meets(v, s, root) for s in schema["anyOf"]):
         yield path, "anyOf", "meets none of the alternatives"
-    if "oneOf" in schema and sum(not any(True for _ in failures(v, s, root, path)) for s in schema["oneOf"]) != 1:
+    if "oneOf" in schema and sum(_meets(v, s, root) for s in schema["oneOf"]) != 1:
         yield path, "oneOf", "does not meet exactly one alternative"
-    if "not" in schema and not any(True for _ in failures(v, schema["not"], root, path)):
+    if "not" in schema and _meets(v, schema["not"], root):
         yield path, "not", "meets what it must not"
+    if "if" in schema:
+        yield from failures(v, schema.get("then" if _meets(v, schema["if"], root) else "else", True), root, path)
+    for keyword, kind in (("unevaluatedProperties", dict), ("unevaluatedItems", list)):
+        if keyword in schema and isinstance(v, kind):
+            seen = _evaluated(v, {k: s for k, s in schema.items() if k != keyword}, root)
+            for k in (k for k in (v if kind is dict else range(len(v))) if k not in seen):
+                if not _meets(v[k], schema[keyword], root):
+                    yield path, keyword, f"{k!r} is not allowed"
 
 
 def _json_value(v):
@@ -244,79 +300,165 @@ def _json_value(v):
     return v
 
 
+def _plain(v, kind: T.DataType):
+    """A value from Arrow in the form of JSON; maps come as pairs."""
+    if v is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _plain(v[f.name], f.dataType) for f in kind.fields}
+    if isinstance(kind, T.ArrayType):
+        return [_plain(x, kind.elementType) for x in v]
+    if isinstance(kind, T.MapType):
+        return {k: _plain(x, kind.valueType) for k, x in v}
+    return _json_value(v)
+
+
+def suspects(frame: Frame, schema) -> DataFrame:
+    """The rows that a compiled form of the schema does not clear; all rows where no such form exists."""
+    met = compiled(frame, schema)
+    return frame.df if met is None else frame.df.where(~F.coalesce(met, F.lit(False)))
+
+
 def row_failures(frame: Frame, schema) -> DataFrame:
-    """``row_key..., path, keyword, message`` for every failing row, evaluated on the executors row by row."""
+    """``row_key..., path, keyword, message`` for every failing row. Rows that the compiled schema clears never leave
+    generated code; the others are judged in Arrow batches on the executors."""
     checked_schema(schema)
     text = json.dumps(schema, default=str)
-    names = frame.columns
-    keys = [k.name for k in frame.order]
-    df = frame.df.select(*[quoted(c) for c in names], *keys)
+    names, keys = frame.columns, [k.name for k in frame.order]
+    df = suspects(frame, schema).select(*[quoted(c) for c in names], *keys)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     out = T.StructType([*[T.StructField(k, kinds[k]) for k in keys], *[T.StructField(n, T.StringType()) for n in ("path", "keyword", "message")]])
-    n = len(names)
 
-    def part(rows):
+    def judge(batches):
+        import pyarrow as pa
+
         spec = json.loads(text, parse_float=Decimal)
-        for r in rows:
-            value = {k: _json_value(r[i]) for i, k in enumerate(names)}
-            for path, keyword, message in failures(value, spec):
-                yield (*[r[n + i] for i in range(len(keys))], path, keyword, message)
+        for batch in batches:
+            columns = [[_plain(x, kinds[n]) for x in batch.column(i).to_pylist()] for i, n in enumerate(names)]
+            at, told = [], []
+            for row in range(batch.num_rows):
+                for found in failures({n: c[row] for n, c in zip(names, columns, strict=True)}, spec):
+                    at.append(row)
+                    told.append(found)
+            own = [batch.column(len(names) + i).take(pa.array(at, pa.int64())) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array([t[i] for t in told], pa.string()) for i in range(3)]], names=out.names)
+
+    return df.mapInArrow(judge, out)
+
+
+def _before(frame: Frame, row) -> Column:
+    """Whether a row comes before the one with these order keys."""
+    out = F.lit(False)
+    kinds = {f.name: f.dataType for f in frame.df.schema.fields}
+    for k in reversed(frame.order):
+        c, v = F.col(k.name), row[k.name]
+        if v is None:
+            less, equal = (c.isNotNull() if k.nulls_last else F.lit(False)), c.isNull()
+        else:
+            x = F.lit(v).cast(kinds[k.name])
+            less, equal = F.when(c.isNull(), F.lit(not k.nulls_last)).otherwise(c < x if k.ascending else c > x), c.eqNullSafe(x)
+        out = less | (equal & out)
+    return out
 
-    return df.sparkSession.createDataFrame(df.rdd.mapPartitions(part), out)
+
+def _of_rows(frame: Frame, schema, most: int) -> list[dict]:
+    """The first ``most`` failures in row order, each with its row's place from 0."""
+    bad = row_failures(frame, schema)
+    if not frame.order:
+        return [{"row": None, "path": r["path"], "keyword": r["keyword"], "message": r["message"]} for r in bad.limit(most).collect()]
+    top = bad.orderBy(*frame.keys()).limit(most).collect()
+    keys = [k.name for k in frame.order]
+    rows = {tuple(r[k] for k in keys): r for r in top}
+    counted = frame.df.agg(*[F.count_if(_before(frame, r)).alias(f"p{i}") for i, r in enumerate(rows.values())]).first() if rows else []
+    places = dict(zip(rows, counted, strict=True))
+    return [{"row": places[tuple(r[k] for k in keys)], "path": r["path"], "keyword": r["keyword"], "message": r["message"]} for r in top]
+
+
+def _of_array(frame: Frame, schema: dict, most: int) -> list[dict]:
+    """A table against the schema of an array: items row by row, sizes and equal items by aggregates. Keywords that say
+    something else about the array as a whole need it in one place, at most ``WHOLE_ROWS`` rows."""
+    if set(schema) - _BY_ROW - _NOTES:
+        rows = frame.sorted.limit(WHOLE_ROWS + 1).collect()
+        need(len(rows) <= WHOLE_ROWS, "E_ROW_LIMIT", "the schema speaks of the array as a whole, which has too many rows", maximum=WHOLE_ROWS)
+        spec = json.loads(json.dumps(schema, default=str), parse_float=Decimal)
+        return [{"row": None, "path": p, "keyword": k, "message": m} for p, k, m in itertools.islice(failures([_json_value(r) for r in rows], spec), most)]
+    out = []
+    if {"minItems", "maxItems"} & set(schema):
+        n = frame.df.count()
+        out += [{"row": None, "path": "$", "keyword": k, "message": f"has too {w} items"} for k, w, bad in (("minItems", "few", n < schema.get("minItems", n)), ("maxItems", "many", n > schema.get("maxItems", n))) if bad]
+    if schema.get("uniqueItems") and frame.columns:
+        if frame.df.groupBy(*[quoted(c) for c in frame.columns]).count().where("count > 1").limit(1).count():
+            out.append({"row": None, "path": "$", "keyword": "uniqueItems", "message": "has equal items"})
+    if "items" in schema:
+        rooted = schema["items"] if not isinstance(schema["items"], dict) else {**{k: schema[k] for k in ("$defs", "definitions") if k in schema}, **schema["items"]}
+        out += [f | {"path": f"$[{f['row']}]{f['path'][1:]}"} for f in _of_rows(frame, rooted, most)]
+    return out[:most]
+
+
+#: Rows of an array that may be looked at as one value.
+WHOLE_ROWS = 100_000
 
 
 def validate_schema(kind: str, frame: Frame | None, value, schema, most: int = 20) -> dict:
     checked_schema(schema)
-    spec = json.loads(json.dumps(schema, default=str), parse_float=Decimal)
     if kind == "tree":
-        found = [{"row": None, "path": p, "keyword": k, "message": m} for p, k, m in failures(value, spec)]
-    elif schema is not True and isinstance(schema, dict) and schema.get("type") == "array":
-        rows = [_json_value(r) for r in frame.sorted.toLocalIterator()]
-        found = [{"row": None, "path": p, "keyword": k, "message": m} for p, k, m in failures(rows, spec)]
+        spec = json.loads(json.dumps(schema, default=str), parse_float=Decimal)
+        found = [{"row": None, "path": p, "keyword": k, "message": m} for p, k, m in itertools.islice(failures(value, spec), most + 1)]
+    elif isinstance(schema, dict) and schema.get("type") == "array":
+        found = _of_array(frame, schema, most + 1)
     else:
-        bad = row_failures(frame, schema)
-        keys = [k.name for k in frame.order]
-        top = bad.orderBy(*[k.column() for k in frame.order]).limit(most).collect() if keys else bad.limit(most).collect()
-        found = [{"row": (r[keys[-1]] if keys else None), "path": r["path"], "keyword": r["keyword"], "message": r["message"]} for r in top]
+        found = _of_rows(frame, schema, most + 1)
     return {"valid": not found, "failures": found[:most], "failures_truncated": len(found) > most}
 
 
-def compiled(frame: Frame, schema: dict):
-    """A boolean column, true where the row meets a flat object schema (scalar keywords only), for scans that must stay
-    in generated code; other keywords raise ``E_SCHEMA_INVALID``."""
-    checked_schema(schema)
-    met = F.lit(True)
-    for name in schema.get("required", []):
-        if name not in frame.columns:
-            return F.lit(False)
-    fits = {"integer": ("integer",), "number": ("integer", "decimal", "number"), "string": ("string",), "boolean": ("boolean",)}
+def _column_test(c: Column, kind: str, keyword: str, x) -> Column | None:
+    """A test of a column that is not null, or None where it has no form that agrees with ``failures`` exactly."""
+    numeric = kind in ("integer", "decimal", "number")
+    number = isinstance(x, (int, float)) and not isinstance(x, bool)
+    if keyword in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum") and number:
+        bound = F.lit(Decimal(repr(x))) if kind == "decimal" else F.lit(x)
+        return {"minimum": c >= bound, "maximum": c <= bound, "exclusiveMinimum": c > bound, "exclusiveMaximum": c < bound}[keyword] if numeric else F.lit(True)
+    if keyword in ("minLength", "maxLength"):
+        return (F.length(c) >= x if keyword == "minLength" else F.length(c) <= x) if kind == "string" else F.lit(True) if numeric or kind == "boolean" else None
+    if keyword in ("enum", "const"):
+        own = {"string": str, "integer": int, "boolean": bool}.get(kind)
+        given = [v for v in (x if keyword == "enum" else [x]) if v is not None]
+        return c.isin(given) if own and all(type(v) is own for v in given) else None
+    if keyword == "multipleOf":
+        return (c % x == 0) if kind == "integer" and type(x) is int and x > 0 else F.lit(True) if kind in ("string", "boolean") else None
+    return None
+
+
+def compiled(frame: Frame, schema) -> Column | None:
+    """A boolean column that is true only for rows that meet the schema, or None where it uses more than scalar tests of
+    columns. What the column does not clear is left to ``failures``."""
+    if not isinstance(schema, dict) or set(schema) - {"type", "required", "properties"} - _NOTES:
+        return None
+    types = schema.get("type", "object")
+    if "object" not in (types if isinstance(types, list) else [types]):
+        return None
+    met = F.lit(all(name in frame.columns for name in schema.get("required", [])))
+    fitting = {"integer": ("integer", "number"), "decimal": ("number",), "number": ("number",), "string": ("string",), "boolean": ("boolean",)}
     for name, s in schema.get("properties", {}).items():
-        if name not in frame.columns:
+        if name not in frame.columns or s is True:
             continue
+        if not isinstance(s, dict):
+            return None
         c, kind = quoted(name), family(exact(frame, name))
-        types = s.get("type", [])
+        types = s.get("type", ["null", *fitting.get(kind, [])])
         types = [types] if isinstance(types, str) else types
-        if types:
-            fit = any(kind in fits.get(t, ()) for t in types)
-            whole = (c == F.floor(c)) if "integer" in types and kind in ("decimal", "number") and not fit else F.lit(fit)
-            met = met & F.when(c.isNull(), F.lit("null" in types)).otherwise(whole)
-        tests = []
-        for k, v in s.items():
-            numeric, textual = kind in ("integer", "decimal", "number"), kind == "string"
-            if k in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum") and numeric:
-                tests.append({"minimum": c >= v, "maximum": c <= v, "exclusiveMinimum": c > v, "exclusiveMaximum": c < v}[k])
-            elif k in ("minLength", "maxLength") and textual:
-                tests.append(F.length(c) >= v if k == "minLength" else F.length(c) <= v)
-            elif k == "pattern" and textual:
-                tests.append(c.rlike(v))
-            elif k == "enum":
-                tests.append(c.isin([x for x in v if x is not None]))
-            elif k == "const":
-                tests.append(c.eqNullSafe(F.lit(v)))
-            elif k == "multipleOf" and numeric:
-                tests.append(c.cast(T.DecimalType(38, 12)) % F.lit(str(v)).cast(T.DecimalType(38, 12)) == 0)
-            elif k not in ("type", *_NOTES) and k not in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "multipleOf"):
-                raise PlanError("E_SCHEMA_INVALID", f"{k} is not compiled to columns", {"keyword": k})
-        for t in tests:
-            met = met & (c.isNull() | t)
+        fits = any(t in fitting.get(kind, ()) for t in types)
+        if not fits and "integer" in types and kind in ("decimal", "number"):
+            good = c == F.floor(c)
+        else:
+            good = F.lit(fits)
+        for k, x in s.items():
+            if k == "type" or k in _NOTES:
+                continue
+            test = _column_test(c, kind, k, x)
+            if test is None:
+                return None
+            good = good & test
+        empty = "null" in types and all(None in x if k == "enum" else x is None if k == "const" else True for k, x in s.items())
+        met = met & F.when(c.isNull(), F.lit(empty)).otherwise(good)
     return met

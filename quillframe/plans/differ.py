@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.errors import need
+from quillframe.errors import PlanError
 from quillframe.frame import Frame, exact, quoted
 from quillframe.sources.values import public
 
@@ -56,7 +56,8 @@ def tables(left: Frame, right: Frame, keys: list[str] | None, sample: int) -> di
     if keys:
         for side, f in (("left", left), ("right", right)):
             again = f.df.groupBy(*[quoted(k) for k in keys if exact(f, k) is not None]).count().where("count > 1").limit(1).count()
-            need(not again, "E_DIFF_KEY_NOT_UNIQUE", f"the keys are not unique on the {side}", side=side)
+            if again:
+                raise PlanError("E_DIFF_KEY_NOT_UNIQUE", f"the keys are not unique on the {side}", {"side": side})
         found = keyed(left, right, keys)
         n = {r["state"]: r["count"] for r in found.groupBy("state").count().collect()}
         rows = [{"change": r["state"], "key": {k: public(r[k]) for k in keys}} for r in found.limit(sample).collect()] if sample else []

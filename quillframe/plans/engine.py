@@ -16,7 +16,7 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.errors import PlanError, need, translated
+from quillframe.errors import PlanError, translated
 from quillframe.frame import Frame, exact, quoted
 from quillframe.limits import Limits
 from quillframe.operators import groups, rows, shapes
@@ -63,13 +63,16 @@ class Engine:
             names = [step["left"], step["right"]]
         else:
             name = step.get("source") or previous or (sources[0] if len(sources) == 1 else None)
-            need(name is not None, "E_SOURCE_REFERENCE", "the step does not say which source it reads")
+            if name is None:
+                raise PlanError("E_SOURCE_REFERENCE", "the step does not say which source it reads")
             names = [name]
         for n in names:
-            need(n in data, "E_SOURCE_REFERENCE", f"{n!r} is not a source or an earlier step", source=n)
+            if n not in data:
+                raise PlanError("E_SOURCE_REFERENCE", f"{n!r} is not a source or an earlier step", {"source": n})
         got = [data[n] for n in names]
         if step["op"] == "join":
-            need(all(d.kind == "table" for d in got), "E_TYPE_MISMATCH", "join needs two tables")
+            if not all(d.kind == "table" for d in got):
+                raise PlanError("E_TYPE_MISMATCH", "join needs two tables")
             return names, Data("table", groups.join(got[0].frame, got[1].frame, step))
         if got[0].kind == "tree":
             return names, Data("tree", value=trees.applied(got[0].value, step))
@@ -161,16 +164,20 @@ class Engine:
         return got
 
     def run_steps(self, plan: dict, limits: Limits) -> tuple[dict[str, Data], list[Step]]:
-        need(len(plan["sources"]) <= limits.max_sources, "E_SOURCE_LIMIT", "too many sources")
-        need(len(plan["steps"]) <= limits.max_steps, "E_STEP_LIMIT", "too many steps")
+        if len(plan["sources"]) > limits.max_sources:
+            raise PlanError("E_SOURCE_LIMIT", "too many sources")
+        if len(plan["steps"]) > limits.max_steps:
+            raise PlanError("E_STEP_LIMIT", "too many steps")
         data = {name: load(self.spark, spec, limits, self.root) for name, spec in plan["sources"].items()}
         total = sum(d.bytes for d in data.values())
-        need(not limits.enforce or total <= limits.max_input_bytes, "E_INPUT_TOO_LARGE", "the sources exceed the input budget", bytes=total)
+        if not (not limits.enforce or total <= limits.max_input_bytes):
+            raise PlanError("E_INPUT_TOO_LARGE", "the sources exceed the input budget", {"bytes": total})
         done: list[Step] = []
         for i, step in enumerate(plan["steps"]):
             sid = step.get("id") or f"step_{i + 1}"
             try:
-                need(sid not in data, "E_DUPLICATE_ID", f"{sid!r} is taken", id=sid)
+                if sid in data:
+                    raise PlanError("E_DUPLICATE_ID", f"{sid!r} is taken", {"id": sid})
                 names, out = self.apply(step, data, done[-1].id if done else None, list(plan["sources"]))
             except Exception as e:
                 raise translated(e, sid) from e
@@ -194,7 +201,8 @@ class Engine:
         for i, raw in enumerate(steps):
             step = model.checked(model.step, raw, "the step is invalid")
             last = step.get("id") or f"step_{i + 1}"
-            need(last not in data, "E_DUPLICATE_ID", f"{last!r} is taken", id=last)
+            if last in data:
+                raise PlanError("E_DUPLICATE_ID", f"{last!r} is taken", {"id": last})
             data[last] = self.apply(step, data, f"step_{i}" if i and "id" not in steps[i - 1] else (steps[i - 1]["id"] if i else None), list(tables))[1]
         return data[last].frame
 
@@ -245,7 +253,8 @@ class Engine:
 
     def inspect(self, source: dict, sample_rows: int = 5, target_schema: dict | None = None, mappings: dict | None = None, limits: dict | None = None) -> dict:
         def work(lim):
-            need(mappings is None or target_schema is not None, "E_REQUEST_INVALID", "mappings need a target schema")
+            if not (mappings is None or target_schema is not None):
+                raise PlanError("E_REQUEST_INVALID", "mappings need a target schema")
             spec = model.checked(model.source, source, "the source is invalid")
             data = load(self.spark, spec, lim, self.root)
             if data.kind == "table":
@@ -304,7 +313,8 @@ class Engine:
             dry = spec.get("dry_run", False) if dry_run is None else dry_run
             mode = spec.get("return", {}).get("mode", "auto")
             target = sinks.planned(spec["output"], self.root) if "output" in spec else None
-            need(mode != "reference" or target is not None, "E_OUTPUT_REQUIRED", "return mode reference needs an output")
+            if not (mode != "reference" or target is not None):
+                raise PlanError("E_OUTPUT_REQUIRED", "return mode reference needs an output")
             data, steps = self.run_steps(spec, limits)
             last = steps[-1].data
             full, table = effects == "full", last.kind == "table"
@@ -316,17 +326,21 @@ class Engine:
                     self._blamed(steps)
                     raise
             most = max((f.get("n", 0) for f in figures.values()), default=0)
-            need(not limits.enforce or most <= limits.max_rows, "E_ROW_LIMIT", "a table exceeds the row budget", rows=most)
+            if not (not limits.enforce or most <= limits.max_rows):
+                raise PlanError("E_ROW_LIMIT", "a table exceeds the row budget", {"rows": most})
             if "schema" in spec:
                 found = checks.validate_schema(last.kind, last.frame, last.value, spec["schema"])
-                need(found["valid"], "E_SCHEMA_FAILED", "the result does not meet the schema", failures=found["failures"])
+                if not (found["valid"]):
+                    raise PlanError("E_SCHEMA_FAILED", "the result does not meet the schema", {"failures": found["failures"]})
             if spec.get("assert"):
                 found = checks.on_table(last.frame, spec["assert"]) if last.kind == "table" else checks.on_tree(last.value, spec["assert"])
                 bad = [a for a in found if not a["passed"]]
-                need(not bad, "E_ASSERTION_FAILED", "assertions failed", failures=bad)
+                if bad:
+                    raise PlanError("E_ASSERTION_FAILED", "assertions failed", {"failures": bad})
             audit = {"steps": self._effects(steps, data, figures, full)}
             n = (figures[steps[-1].id]["n"] if full else last.frame.df.count()) if table else None
-            need(n is None or not limits.enforce or n <= limits.max_rows, "E_ROW_LIMIT", "a table exceeds the row budget", rows=n)
+            if not (n is None or not limits.enforce or n <= limits.max_rows):
+                raise PlanError("E_ROW_LIMIT", "a table exceeds the row budget", {"rows": n})
             sample = profile.table_sample(last.frame, limits.sample_rows) if table else profile.tree_sample(last.value)
             result: dict = {"kind": "summary"}
             if target is not None:
@@ -340,7 +354,8 @@ class Engine:
                     if size <= limits.max_inline_bytes:
                         result = {"kind": "inline", "data": values}
                     else:
-                        need(mode == "auto", "E_OUTPUT_TOO_LARGE", "the result exceeds the inline budget", bytes=size)
+                        if mode != "auto":
+                            raise PlanError("E_OUTPUT_TOO_LARGE", "the result exceeds the inline budget", {"bytes": size})
             if full:
                 audit["result_sha256"] = sinks.rows_digest(last.frame) if table else hashlib.sha256(canonical(last.value).encode() + b"\n").hexdigest()
             audit["warnings"] = [w for s in audit["steps"] for w in s["warnings"]]
@@ -351,7 +366,8 @@ class Engine:
 
     def validate(self, source: dict, schema: dict | None = None, assertions: list[dict] | None = None, sample_rows: int = 5, limits: dict | None = None) -> dict:
         def work(lim):
-            need(schema is not None or bool(assertions), "E_VALIDATION_REQUIRED", "a schema or assertions are needed")
+            if not (schema is not None or bool(assertions)):
+                raise PlanError("E_VALIDATION_REQUIRED", "a schema or assertions are needed")
             wanted = model.checked(model.many(model.assertion), assertions or [], "assertions are invalid")
             data = load(self.spark, model.checked(model.source, source, "the source is invalid"), lim, self.root)
             table = data.kind == "table"
@@ -371,9 +387,11 @@ class Engine:
             if a.kind != b.kind:
                 return out | {"identical": False, "kind_change": {"left": a.kind, "right": b.kind}, "row_comparison": "not_comparable"}
             if a.kind == "tree":
-                need(not key_fields, "E_DIFF_KEY_INVALID", "trees have no keys")
+                if key_fields:
+                    raise PlanError("E_DIFF_KEY_INVALID", "trees have no keys")
                 return out | differ.trees(a.value, b.value, sample_rows)
-            need(key_fields is None or (bool(key_fields) and len(set(key_fields)) == len(key_fields)), "E_DIFF_KEY_INVALID", "keys must be given once each")
+            if not (key_fields is None or (bool(key_fields) and len(set(key_fields)) == len(key_fields))):
+                raise PlanError("E_DIFF_KEY_INVALID", "keys must be given once each")
             return out | differ.tables(a.frame, b.frame, key_fields, sample_rows)
 
         return self._guarded("diff", limits, None, work)

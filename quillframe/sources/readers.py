@@ -1,7 +1,8 @@
 """Sources: JSON, JSONL, CSV, TSV, YAML, Parquet and inline values.
 
-Parquet is read natively and ordered by file and row number. JSONL and CSV are read as lines by Spark; whole-document
-carriers (JSON, YAML) are one value by nature and are parsed on the driver under the input budget.
+Parquet is read natively and ordered by file and row number. JSONL and delimited text are read as lines, several tasks to
+a file, and ordered by file, block and place in it; delimited text with line breaks inside of cells (or with bytes that are
+not UTF-8) is parsed file by file. JSON and YAML are one value by nature and are parsed on the driver under the input budget.
 """
 
 from __future__ import annotations
@@ -96,10 +97,11 @@ def parquet(spark: SparkSession, path: str) -> Frame:
     return Frame(df.select(*[quoted(c) for c in df.columns], F.col("_metadata.file_path").alias(f), F.col("_metadata.row_index").alias(r)), (Key(f), Key(r)))
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their numbers; two passes over the text, nothing collected."""
-    rdd = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-    return spark.createDataFrame(rdd, "line string, n long")
+def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[Key, Key, Key]]:
+    """``line`` and its order: the file, the block of the file that a task read it from, and its place in that task."""
+    keys = tuple(Key(hidden()) for _ in range(3))
+    order = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return spark.read.text(path).select(F.col("value").alias("line"), *[c.alias(k.name) for c, k in zip(order, keys, strict=True)]), keys
 
 
 def _census(lines: DataFrame) -> Kind:
@@ -132,14 +134,14 @@ def _respelled(t) -> Kind:
 
 
 def jsonl(spark: SparkSession, path: str) -> Frame:
-    lines = _numbered_lines(spark, path).where(F.trim("line") != "")
+    lines, keys = _lines(spark, path)
+    lines = lines.where(F.trim("line") != "")
     kind = _census(lines.select("line"))
     if kind.name == "null":
         return table_of(spark, [])
     schema = T.StructType([T.StructField(k, v.spark()) for k, v in kind.fields.items()])
-    at = hidden()
-    row = F.from_json("line", schema, {"mode": "FAILFAST"})
-    return Frame(lines.select(row.alias("r"), F.col("n").alias(at)).select("r.*", at), (Key(at),))
+    row, names = F.from_json("line", schema, {"mode": "FAILFAST"}), [k.name for k in keys]
+    return Frame(lines.select(row.alias("r"), *names).select("r.*", *names), keys)
 
 
 def _cell_kinds(values: DataFrame, names: list[str]) -> dict[str, str]:
@@ -166,6 +168,37 @@ def _cell_kinds(values: DataFrame, names: list[str]) -> dict[str, str]:
     return out
 
 
+def _cells(rows, width: int):
+    for r in rows:
+        if len(r) != width:
+            raise PlanError("E_PARSE", f"a row has {len(r)} cells, the header {width}")
+        yield [None if x == "\\N" else x[1:] if x.startswith("\\\\") else x for x in r]
+
+
+def _by_line(lines: DataFrame, keys: tuple[Key, ...], header: list[str], sep: str) -> DataFrame:
+    """Rows of text whose every line is a row; each file's first filled line is its header."""
+    kept = [k.name for k in keys]
+    schema = T.StructType([*[T.StructField(h, T.StringType()) for h in header], *[lines.schema[k] for k in kept]])
+
+    def parse(batches):
+        import pyarrow as pa
+
+        opened = set()
+        for batch in batches:
+            at, texts = [], []
+            for i, (line, file, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if block == 0 and file not in opened and line:
+                    opened.add(file)
+                elif line:
+                    at.append(i)
+                    texts.append(line)
+            columns = list(zip(*_cells(csv.reader(texts, delimiter=sep, strict=True), len(header)), strict=True)) or [()] * len(header)
+            own = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], *[own.column(1 + i) for i in range(len(kept))]], names=schema.names)
+
+    return lines.mapInArrow(parse, schema)
+
+
 def delimited(spark: SparkSession, path: str, sep: str) -> Frame:
     r"""Strict delimited text: a unique header, exact widths, ``\N`` is null, a leading ``\\`` is one backslash."""
     with open(path, newline="", encoding="utf-8-sig") as f:
@@ -174,29 +207,24 @@ def delimited(spark: SparkSession, path: str, sep: str) -> Frame:
     need(bool(header) and all(header), "E_PARSE", "a header with a name for each column is needed")
     need(len({h.lower() for h in header}) == len(header), "E_DUPLICATE_FIELD", "header names are not unique")
 
-    def part(lines):
-        for r, i in lines:
-            yield (*r, i)
-
-    def cells(rows):
-        for r, i in rows:
-            if len(r) != len(header):
-                raise PlanError("E_PARSE", f"a row has {len(r)} cells, the header {len(header)}")
-            yield [None if x == "\\N" else x[1:] if x.startswith("\\\\") else x for x in r], i
-
-    # quoted line breaks make lines unfit to split on; such files are parsed as one stream per file
     def parse(pairs):
-        for _, content in pairs:
+        for name, content in pairs:
             rows = csv.reader(io.StringIO(bytes(content).decode("utf-8-sig"), newline=""), delimiter=sep, strict=True)
             next(rows, None)
-            yield from part(cells((r, i) for i, r in enumerate(r for r in rows if r)))
-
-    at = hidden()
-    schema = T.StructType([*[T.StructField(h, T.StringType()) for h in header], T.StructField(at, T.LongType())])
-    files = spark.read.format("binaryFile").load(path).select("path", "content").rdd.map(tuple)
-    raw = spark.createDataFrame(files.mapPartitions(parse), schema)
+            for i, r in enumerate(_cells((r for r in rows if r), len(header))):
+                yield (*r, name, i)
+
+    lines, keys = _lines(spark, path)
+    # a cell with a line break leaves an odd number of quotes on a line
+    whole = lines.where((F.length("line") - F.length(F.translate("line", '"', ""))) % 2 == 1).union(lines.where(F.contains("line", F.lit("\ufffd")))).limit(1).count()
+    if whole:
+        keys = keys[:2]
+        schema = T.StructType([*[T.StructField(h, T.StringType()) for h in header], T.StructField(keys[0].name, T.StringType()), T.StructField(keys[1].name, T.LongType())])
+        raw = spark.createDataFrame(spark.read.format("binaryFile").load(path).select("path", "content").rdd.map(tuple).mapPartitions(parse), schema)
+    else:
+        raw = _by_line(lines, keys, header, sep)
     kinds = _cell_kinds(raw, header)
-    return Frame(raw.select(*[quoted(h).cast(kinds[h]).alias(h) for h in header], at), (Key(at),))
+    return Frame(raw.select(*[quoted(h).cast(kinds[h]).alias(h) for h in header], *[k.name for k in keys]), keys)
 
 
 def load(spark: SparkSession, spec: dict, limits: Limits, root: str | None = None) -> Data:
