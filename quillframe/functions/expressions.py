@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 from quillframe.frame import Frame, field_of
 from quillframe.functions.kinds import NUMERIC, compatible, family, literal
 
@@ -22,7 +22,8 @@ def _kind(frame: Frame, column: Column) -> T.DataType:
 def _numeric(frame: Frame, columns: list[Column], op: str) -> None:
     for c in columns:
         got = family(_kind(frame, c))
-        need(got in NUMERIC or got == "null", "E_TYPE_MISMATCH", f"{op} needs numbers, got {got}")
+        if not (got in NUMERIC or got == "null"):
+            raise PlanError("E_TYPE_MISMATCH", f"{op} needs numbers, got {got}")
 
 
 def _rounded(x: Column, digits: int) -> Column:
@@ -54,7 +55,8 @@ def expression(frame: Frame, spec: dict) -> Column:
         for a in arg:
             c = expression(frame, a)
             kind = family(_kind(frame, c))
-            need(kind in NUMERIC | {"string", "boolean", "null", "date", "timestamp"}, "E_TYPE_MISMATCH", f"concat cannot render {kind}")
+            if kind not in NUMERIC | {"string", "boolean", "null", "date", "timestamp"}:
+                raise PlanError("E_TYPE_MISMATCH", f"concat cannot render {kind}")
             parts.append(c.cast("string"))
         return F.concat_ws("", *parts)
     if op == "coalesce":
@@ -66,21 +68,25 @@ def expression(frame: Frame, spec: dict) -> Column:
             counts = frame.df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(parts)]).first()
             parts = [c for i, c in enumerate(parts) if counts[i]]
             kinds = [family(_kind(frame, c)) for c in parts]
-            need(all(compatible(a, b) for a in kinds for b in kinds), "E_TYPE_MISMATCH", "coalesce operands are of different types", types=sorted(seen))
+            if not all(compatible(a, b) for a in kinds for b in kinds):
+                raise PlanError("E_TYPE_MISMATCH", "coalesce operands are of different types", {"types": sorted(seen)})
         return F.coalesce(*parts) if parts else F.lit(None).cast("string")
     if op in ("lower", "upper", "substring"):
         inner = expression(frame, arg[0] if op == "substring" else arg)
-        need(family(_kind(frame, inner)) in ("string", "null"), "E_FIELD_NOT_FOUND", f"{op} needs a string")
+        if family(_kind(frame, inner)) not in ("string", "null"):
+            raise PlanError("E_FIELD_NOT_FOUND", f"{op} needs a string")
         if op != "substring":
             return F.lower(inner) if op == "lower" else F.upper(inner)
         start, size = arg[1], arg[2] if len(arg) > 2 else None
-        need(size is None or size >= 0, "E_EXPRESSION_INVALID", "a length cannot be negative")
+        if not (size is None or size >= 0):
+            raise PlanError("E_EXPRESSION_INVALID", "a length cannot be negative")
         if start == 0 and size is not None:  # position 0 takes up one character of the length
             start, size = 1, max(size - 1, 0)
         return F.substring(inner, start, 2_147_483_647 if size is None else size)
     if op == "round":
         inner, digits = (expression(frame, arg), 0) if isinstance(arg, dict) else (expression(frame, arg[0]), arg[1] if len(arg) > 1 else 0)
-        need(-30 <= digits <= 30, "E_EXPRESSION_INVALID", "round takes -30 to 30 digits")
+        if not (-30 <= digits <= 30):
+            raise PlanError("E_EXPRESSION_INVALID", "round takes -30 to 30 digits")
         _numeric(frame, [inner], op)
         if isinstance(_kind(frame, inner), (T.DoubleType, T.FloatType)):
             return _rounded(inner.cast("double"), digits)

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 
 NUMERIC = {"integer", "decimal", "number"}
 INT64 = (-(1 << 63), (1 << 63) - 1)
@@ -38,7 +38,8 @@ def compatible(a: str, b: str) -> bool:
 def normalised(value):
     """Floats by their shortest spelling as exact decimals, inside lists and objects too."""
     if isinstance(value, float):
-        need(value == value and value not in (float("inf"), float("-inf")), "E_NUMBER_INVALID", "numbers must be finite")
+        if not (value == value and value not in (float("inf"), float("-inf"))):
+            raise PlanError("E_NUMBER_INVALID", "numbers must be finite")
         return Decimal(repr(value))
     if isinstance(value, list):
         return [normalised(v) for v in value]

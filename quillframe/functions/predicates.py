@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillframe.errors import need
+from quillframe.errors import PlanError
 from quillframe.frame import Frame, field_of
 from quillframe.functions.kinds import compatible, family, literal, literal_family
 
@@ -18,7 +18,8 @@ _TEXT = {"contains": Column.contains, "starts_with": Column.startswith, "ends_wi
 
 def _checked(name: str, kind: str, value) -> None:
     if value is not None:
-        need(compatible(kind, literal_family(value)), "E_TYPE_MISMATCH", f"field {name!r} is {kind}, the value is {literal_family(value)}", field=name)
+        if not compatible(kind, literal_family(value)):
+            raise PlanError("E_TYPE_MISMATCH", f"field {name!r} is {kind}, the value is {literal_family(value)}", {"field": name})
 
 
 def condition(frame: Frame, spec: dict) -> Column:
@@ -37,7 +38,8 @@ def condition(frame: Frame, spec: dict) -> Column:
     if op == "not_null":
         return column.isNotNull()
     if op in _TEXT:
-        need(kind == "string", "E_TYPE_MISMATCH", f"{op} needs a string field", field=name)
+        if kind != "string":
+            raise PlanError("E_TYPE_MISMATCH", f"{op} needs a string field", {"field": name})
         return _TEXT[op](column, F.lit(value))
     if op in ("in", "not_in"):
         for v in value:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.errors import need
+from quillframe.errors import PlanError
 from quillframe.frame import Frame, Key, descriptor, distinct_names, field_of, hidden, quoted
 from quillframe.functions.kinds import NUMERIC, compatible, family
 
@@ -22,7 +22,8 @@ def aggregate(frame: Frame, op: str, column: Column | None, name: str = "") -> C
         return F.count_distinct(column)
     kind = frame.df.select(column.alias("x")).schema[0].dataType
     if op in ("sum", "avg"):
-        need(family(kind) in NUMERIC, "E_TYPE_MISMATCH", f"{op} needs numbers", field=name)
+        if family(kind) not in NUMERIC:
+            raise PlanError("E_TYPE_MISMATCH", f"{op} needs numbers", {"field": name})
         if op == "avg":
             return F.avg(column.cast("double"))
         if isinstance(kind, T.IntegralType):
@@ -67,7 +68,8 @@ def join(left: Frame, right: Frame, step: dict) -> Frame:
     lk, rk = [], []
     for a, b in step["on"]:
         (lc, lt), (rc, rt) = field_of(left, a), field_of(right, b)
-        need(compatible(family(lt), family(rt)), "E_TYPE_MISMATCH", f"join keys {a!r} and {b!r} are of different types", left=family(lt), right=family(rt))
+        if not compatible(family(lt), family(rt)):
+            raise PlanError("E_TYPE_MISMATCH", f"join keys {a!r} and {b!r} are of different types", {"left": family(lt), "right": family(rt)})
         lk.append(lc.alias(hidden()))
         rk.append(rc.alias(hidden()))
     taken = {c.lower() for c in left.columns}

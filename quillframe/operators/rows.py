@@ -8,7 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 from quillframe.frame import Frame, Key, descriptor, distinct_names, exact, field_of, hidden, quoted
 from quillframe.functions.expressions import expression
 from quillframe.functions.predicates import condition
@@ -56,7 +56,8 @@ def derive(frame: Frame, step: dict) -> Frame:
 def _cast(column: Column, source: T.DataType, target: str) -> Column:
     """Strict casts with decimals rounded half up and doubles half even on the way to integers."""
     kind = _TARGETS.get(target.lower())
-    need(kind is not None, "E_CAST_TYPE", f"unknown cast target {target!r}", target=target)
+    if kind is None:
+        raise PlanError("E_CAST_TYPE", f"unknown cast target {target!r}", {"target": target})
     if target.lower() == "json":
         if isinstance(source, T.StringType):
             # parse_json raises on text that is not JSON; the text itself is kept

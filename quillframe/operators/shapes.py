@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 from quillframe.frame import Frame, Key, descriptor, distinct_names, exact, field_of, hidden, quoted
 from quillframe.functions.kinds import compatible, family, literal, literal_family
 from quillframe.operators.groups import aggregate
@@ -18,7 +18,8 @@ from quillframe.operators.groups import aggregate
 def explode(frame: Frame, step: dict) -> Frame:
     """One row per element, the element last; rows with a null or empty array go."""
     name = step["field"]
-    need(isinstance(exact(frame, name), T.ArrayType), "E_TYPE_MISMATCH", f"field {name!r} is not an array", field=name)
+    if not isinstance(exact(frame, name), T.ArrayType):
+        raise PlanError("E_TYPE_MISMATCH", f"field {name!r} is not an array", {"field": name})
     place, value = hidden(), hidden()
     others = [quoted(c) for c in frame.columns if c != name]
     df = frame.df.select(*others, F.posexplode(quoted(name)).alias(place, value), *frame.carried())
@@ -33,7 +34,8 @@ def pivot(frame: Frame, step: dict) -> Frame:
     value, _ = field_of(frame, step["value"])
     op, names, cells = step.get("aggregate", "sum"), [], []
     for v in step["values"]:
-        need(v is not None and compatible(family(kind), literal_family(v)), "E_TYPE_MISMATCH", "a pivot value is of another type than its field", value=str(v))
+        if not (v is not None and compatible(family(kind), literal_family(v))):
+            raise PlanError("E_TYPE_MISMATCH", "a pivot value is of another type than its field", {"value": str(v)})
         text = ("true" if v else "false") if isinstance(v, bool) else str(v)
         names.append((step.get("aliases") or {}).get(text, text))
         hit = field == literal(v)
@@ -119,12 +121,15 @@ def unflatten(frame: Frame, step: dict) -> Frame:
     root: dict = {}
     for c in frame.columns:
         *above, last = split_name(c, sep)
-        need(all([*above, last]), "E_FIELD_COLLISION", "a name has an empty segment", field=c)
+        if not all([*above, last]):
+            raise PlanError("E_FIELD_COLLISION", "a name has an empty segment", {"field": c})
         at = root
         for part in above:
             at = at.setdefault(part, {})
-            need(isinstance(at, dict), "E_FIELD_COLLISION", "a name is both a value and an object", field=c)
-        need(last not in at, "E_FIELD_COLLISION", "two names meet in one place", field=c)
+            if not isinstance(at, dict):
+                raise PlanError("E_FIELD_COLLISION", "a name is both a value and an object", {"field": c})
+        if last in at:
+            raise PlanError("E_FIELD_COLLISION", "two names meet in one place", {"field": c})
         at[last] = quoted(c)
     build = lambda node: F.struct(*[build(v).alias(k) for k, v in node.items()]) if isinstance(node, dict) else node
     return frame.project([build(v).alias(k) for k, v in root.items()])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 from quillframe.frame import Frame, exact, quoted
 from quillframe.functions.kinds import family
 
@@ -78,7 +78,8 @@ def on_tree(value, assertions: list[dict]) -> list[dict]:
     out = []
     for a in assertions:
         kind = a["type"]
-        need(kind not in ("unique", "type"), "E_ASSERTION_INVALID", f"{kind} does not apply to a tree")
+        if kind in ("unique", "type"):
+            raise PlanError("E_ASSERTION_INVALID", f"{kind} does not apply to a tree")
         if kind == "row_count":
             n = len(value) if isinstance(value, list) else 1
             out.append({"type": kind, "passed": _bounds(a, n), "rows": n})
@@ -105,12 +106,15 @@ _NOTES = {"$schema", "$id", "$defs", "definitions", "title", "description", "def
 def checked_schema(schema, at: str = "#") -> None:
     if isinstance(schema, bool):
         return
-    need(isinstance(schema, dict), "E_SCHEMA_INVALID", f"{at} is not a schema")
+    if not isinstance(schema, dict):
+        raise PlanError("E_SCHEMA_INVALID", f"{at} is not a schema")
     other = sorted(set(schema) - _KNOWN - _NOTES)
-    need(not other, "E_SCHEMA_INVALID", f"{at} uses keywords that are not supported", keywords=other)
+    if other:
+        raise PlanError("E_SCHEMA_INVALID", f"{at} uses keywords that are not supported", {"keywords": other})
     types = schema.get("type", [])
     for t in types if isinstance(types, list) else [types]:
-        need(t in ("null", "boolean", "integer", "number", "string", "array", "object"), "E_SCHEMA_INVALID", f"{at} has an unknown type", type=str(t))
+        if t not in ("null", "boolean", "integer", "number", "string", "array", "object"):
+            raise PlanError("E_SCHEMA_INVALID", f"{at} has an unknown type", {"type": str(t)})
     for k in ("allOf", "anyOf", "oneOf", "prefixItems"):
         for i, s in enumerate(schema.get(k, [])):
             checked_schema(s, f"{at}/{k}/{i}")
@@ -159,10 +163,12 @@ def _meets(v, schema, root) -> bool:
 
 
 def _target(root, ref: str):
-    need(ref.startswith("#"), "E_SCHEMA_INVALID", "only local references are supported", ref=ref)
+    if not ref.startswith("#"):
+        raise PlanError("E_SCHEMA_INVALID", "only local references are supported", {"ref": ref})
     target = root
     for part in [p.replace("~1", "/").replace("~0", "~") for p in ref[1:].split("/") if p]:
-        need(isinstance(target, dict) and part in target, "E_SCHEMA_INVALID", "a reference leads nowhere", ref=ref)
+        if not (isinstance(target, dict) and part in target):
+            raise PlanError("E_SCHEMA_INVALID", "a reference leads nowhere", {"ref": ref})
         target = target[part]
     return target
 
@@ -379,7 +385,8 @@ def _of_array(frame: Frame, schema: dict, most: int) -> list[dict]:
     something else about the array as a whole need it in one place, at most ``WHOLE_ROWS`` rows."""
     if set(schema) - _BY_ROW - _NOTES:
         rows = frame.sorted.limit(WHOLE_ROWS + 1).collect()
-        need(len(rows) <= WHOLE_ROWS, "E_ROW_LIMIT", "the schema speaks of the array as a whole, which has too many rows", maximum=WHOLE_ROWS)
+        if len(rows) > WHOLE_ROWS:
+            raise PlanError("E_ROW_LIMIT", "the schema speaks of the array as a whole, which has too many rows", {"maximum": WHOLE_ROWS})
         spec = json.loads(json.dumps(schema, default=str), parse_float=Decimal)
         return [{"row": None, "path": p, "keyword": k, "message": m} for p, k, m in itertools.islice(failures([_json_value(r) for r in rows], spec), most)]
     out = []

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 from quillframe.frame import HIDDEN, Frame, Key, hidden, quoted
 from quillframe.functions.kinds import normalised
 from quillframe.limits import Limits
@@ -46,19 +46,23 @@ def format_of(path: str, given: str | None) -> str:
 
 def confined(path: str, root: str | None) -> Path:
     """A local path inside the workspace, symbolic links followed."""
-    need("://" not in path and not path.startswith("\\\\"), "E_NETWORK_FORBIDDEN", "only local paths are read", path=path)
-    need("\x00" not in path and bool(path), "E_PATH_INVALID", "the path is not valid")
+    if not ("://" not in path and not path.startswith("\\\\")):
+        raise PlanError("E_NETWORK_FORBIDDEN", "only local paths are read", {"path": path})
+    if not ("\x00" not in path and bool(path)):
+        raise PlanError("E_PATH_INVALID", "the path is not valid")
     p = Path(path)
     if root is None:
         return p
     base = Path(root).resolve()
     full = (p if p.is_absolute() else base / p).resolve()
-    need(full == base or base in full.parents, "E_PATH_OUTSIDE_WORKSPACE", "the path leaves the workspace", path=path)
+    if not (full == base or base in full.parents):
+        raise PlanError("E_PATH_OUTSIDE_WORKSPACE", "the path leaves the workspace", {"path": path})
     return full
 
 
 def _depth(v, most: int, at: int = 1) -> None:
-    need(at <= most, "E_DEPTH_LIMIT", "the value is nested too deeply", maximum=most)
+    if at > most:
+        raise PlanError("E_DEPTH_LIMIT", "the value is nested too deeply", {"maximum": most})
     for x in v.values() if isinstance(v, dict) else v if isinstance(v, list) else ():
         if isinstance(x, (dict, list)):
             _depth(x, most, at + 1)
@@ -71,9 +75,11 @@ def table_of(spark: SparkSession, rows: list[dict], kinds: dict[str, Kind] | Non
         kind = kind.merged(Kind.of(r), "$")
     schema = T.StructType([T.StructField(k, v.spark()) for k, v in (kinds or kind.fields).items()])
     for name in schema.names:
-        need(not name.startswith(HIDDEN), "E_RESERVED_FIELD", f"names starting with {HIDDEN} are reserved", field=name)
+        if name.startswith(HIDDEN):
+            raise PlanError("E_RESERVED_FIELD", f"names starting with {HIDDEN} are reserved", {"field": name})
     low = [n.lower() for n in schema.names]
-    need(len(set(low)) == len(low), "E_DUPLICATE_FIELD", "field names differ in case only")
+    if len(set(low)) != len(low):
+        raise PlanError("E_DUPLICATE_FIELD", "field names differ in case only")
     at = hidden()
     data = [(*coerced(r, schema), i) for i, r in enumerate(rows)]
     return Frame(spark.createDataFrame(data, T.StructType([*schema.fields, T.StructField(at, T.LongType())])), (Key(at),))
@@ -92,7 +98,8 @@ def promoted(spark: SparkSession, value, kind: str | None) -> Data:
 def parquet(spark: SparkSession, path: str) -> Frame:
     df = spark.read.parquet(path)
     for name in df.columns:
-        need(not name.startswith(HIDDEN), "E_RESERVED_FIELD", f"names starting with {HIDDEN} are reserved", field=name)
+        if name.startswith(HIDDEN):
+            raise PlanError("E_RESERVED_FIELD", f"names starting with {HIDDEN} are reserved", {"field": name})
     f, r = hidden(), hidden()
     return Frame(df.select(*[quoted(c) for c in df.columns], F.col("_metadata.file_path").alias(f), F.col("_metadata.row_index").alias(r)), (Key(f), Key(r)))
 
@@ -113,7 +120,8 @@ def _census(lines: DataFrame) -> Kind:
         kind = Kind("null")
         for r in rows:
             v = parse_json(r[0])
-            need(isinstance(v, dict), "E_TYPE_MISMATCH", "each line must be an object")
+            if not isinstance(v, dict):
+                raise PlanError("E_TYPE_MISMATCH", "each line must be an object")
             kind = kind.merged(Kind.of(v), "$")
         yield pickle.dumps(_spelled(kind))
 
@@ -204,8 +212,10 @@ def delimited(spark: SparkSession, path: str, sep: str) -> Frame:
     with open(path, newline="", encoding="utf-8-sig") as f:
         reader = csv.reader(f, delimiter=sep, strict=True)
         header = next(reader, None)
-    need(bool(header) and all(header), "E_PARSE", "a header with a name for each column is needed")
-    need(len({h.lower() for h in header}) == len(header), "E_DUPLICATE_FIELD", "header names are not unique")
+    if not (bool(header) and all(header)):
+        raise PlanError("E_PARSE", "a header with a name for each column is needed")
+    if len({h.lower() for h in header}) != len(header):
+        raise PlanError("E_DUPLICATE_FIELD", "header names are not unique")
 
     def parse(pairs):
         for name, content in pairs:
@@ -242,16 +252,20 @@ def load(spark: SparkSession, spec: dict, limits: Limits, root: str | None = Non
     if carrier == "parquet" and path.is_dir():
         size = sum(f.stat().st_size for f in path.rglob("*.parquet"))
     else:
-        need(path.is_file(), "E_SOURCE_NOT_FOUND", f"no file at {spec['path']!r}", path=spec["path"])
+        if not path.is_file():
+            raise PlanError("E_SOURCE_NOT_FOUND", f"no file at {spec['path']!r}", {"path": spec["path"]})
         size = path.stat().st_size
-    need(not limits.enforce or size <= limits.max_input_bytes, "E_INPUT_TOO_LARGE", "the source exceeds the input budget", bytes=size)
+    if not (not limits.enforce or size <= limits.max_input_bytes):
+        raise PlanError("E_INPUT_TOO_LARGE", "the source exceeds the input budget", {"bytes": size})
     if carrier in ("json", "yaml"):
         raw = path.read_text(encoding="utf-8-sig")
         value = parse_json(raw) if carrier == "json" else parse_yaml(raw)
         _depth(value, limits.max_depth)
         data = promoted(spark, selected(value, select) if select else value, kind)
         return Data(data.kind, data.frame, data.value, carrier, size)
-    need(select is None, "E_SOURCE_INVALID", f"{carrier} sources take no selector")
-    need(kind != "tree", "E_SOURCE_INVALID", f"{carrier} sources are tables")
+    if select is not None:
+        raise PlanError("E_SOURCE_INVALID", f"{carrier} sources take no selector")
+    if kind == "tree":
+        raise PlanError("E_SOURCE_INVALID", f"{carrier} sources are tables")
     frame = parquet(spark, str(path)) if carrier == "parquet" else jsonl(spark, str(path)) if carrier == "jsonl" else delimited(spark, str(path), "," if carrier == "csv" else "\t")
     return Data("table", frame, None, carrier, size)

@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 from quillframe.frame import Frame, quoted
 from quillframe.sources.readers import confined, format_of
 from quillframe.sources.values import canonical, dumps, public
@@ -24,20 +24,26 @@ def planned(spec: dict, root: str | None) -> tuple[Path, str]:
     """Checks before any work: the folder exists, the target is a file, and overwriting was asked for."""
     path = confined(spec["path"], root)
     carrier = format_of(str(path), spec.get("format"))
-    need(path.parent.is_dir(), "E_OUTPUT_DIRECTORY", "the output's folder does not exist", path=str(path.parent))
-    need(not path.is_dir() and not path.is_symlink(), "E_OUTPUT_INVALID", "the output is not a regular file")
-    need(spec.get("overwrite", False) or not path.exists(), "E_OUTPUT_EXISTS", "the output exists", path=spec["path"])
+    if not path.parent.is_dir():
+        raise PlanError("E_OUTPUT_DIRECTORY", "the output's folder does not exist", {"path": str(path.parent)})
+    if not (not path.is_dir() and not path.is_symlink()):
+        raise PlanError("E_OUTPUT_INVALID", "the output is not a regular file")
+    if not (spec.get("overwrite", False) or not path.exists()):
+        raise PlanError("E_OUTPUT_EXISTS", "the output exists", {"path": spec["path"]})
     return path, carrier
 
 
 def feasible(kind: str, frame: Frame | None, carrier: str) -> None:
     if kind == "tree":
-        need(carrier in ("json", "yaml"), "E_OUTPUT_INVALID", f"a tree cannot be written as {carrier}")
+        if carrier not in ("json", "yaml"):
+            raise PlanError("E_OUTPUT_INVALID", f"a tree cannot be written as {carrier}")
         return
     if not frame.columns:
-        need(carrier not in ("parquet", "csv", "tsv"), "E_OUTPUT_EMPTY_SCHEMA", f"a table without columns cannot be written as {carrier}")
+        if carrier in ("parquet", "csv", "tsv"):
+            raise PlanError("E_OUTPUT_EMPTY_SCHEMA", f"a table without columns cannot be written as {carrier}")
     elif carrier in ("json", "jsonl", "yaml"):
-        need(not frame.visible.isEmpty(), "E_OUTPUT_SCHEMA_LOSS", f"an empty table would lose its columns in {carrier}")
+        if frame.visible.isEmpty():
+            raise PlanError("E_OUTPUT_SCHEMA_LOSS", f"an empty table would lose its columns in {carrier}")
 
 
 def _cell(v) -> str:
@@ -162,7 +168,8 @@ def write_directory(frame: Frame, uri: str, carrier: str, ordered: bool = True)
         plain = [quoted(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType) else quoted(f.name) for f in df.schema.fields]
         df.select(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("value")).write.text(uri)
         return
-    need(carrier in ("csv", "tsv"), "E_FORMAT_UNSUPPORTED", f"{carrier} is written as one file only")
+    if carrier not in ("csv", "tsv"):
+        raise PlanError("E_FORMAT_UNSUPPORTED", f"{carrier} is written as one file only")
     cells = []
     for f in df.schema.fields:
         c = quoted(f.name).cast("string") if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.to_json(quoted(f.name))

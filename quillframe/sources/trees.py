@@ -7,7 +7,7 @@ import copy
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 from quillframe.functions.kinds import normalised
 from quillframe.operators.shapes import escaped, split_name
 from quillframe.sources.selectors import parsed
@@ -16,7 +16,8 @@ from quillframe.sources.values import dumps, parse_json
 
 def _path(path: str) -> list:
     parts = parsed(path)
-    need(None not in parts, "E_SELECTOR_TYPE", "an edit's path has no wildcard", path=path)
+    if None in parts:
+        raise PlanError("E_SELECTOR_TYPE", "an edit's path has no wildcard", {"path": path})
     return parts
 
 
@@ -51,7 +52,8 @@ def set_(value, path: str, new, create: bool = False):
 
 def delete(value, path: str):
     parts = _path(path)
-    need(bool(parts), "E_STEP_INVALID", "the root cannot be deleted")
+    if not bool(parts):
+        raise PlanError("E_STEP_INVALID", "the root cannot be deleted")
     value = copy.deepcopy(value)
     at = value
     for p in parts[:-1]:
@@ -66,7 +68,8 @@ def delete(value, path: str):
 
 
 def merge(value, other: dict, deep: bool = True):
-    need(isinstance(value, dict), "E_TYPE_MISMATCH", "merge needs an object")
+    if not isinstance(value, dict):
+        raise PlanError("E_TYPE_MISMATCH", "merge needs an object")
 
     def both(a, b):
         out = dict(a)
@@ -78,7 +81,8 @@ def merge(value, other: dict, deep: bool = True):
 
 
 def flatten(value, sep: str = "_"):
-    need(isinstance(value, dict), "E_TYPE_MISMATCH", "flatten needs an object")
+    if not isinstance(value, dict):
+        raise PlanError("E_TYPE_MISMATCH", "flatten needs an object")
     out: dict = {}
 
     def walk(v, path):
@@ -87,7 +91,8 @@ def flatten(value, sep: str = "_"):
                 walk(x, [*path, k])
         else:
             name = sep.join(escaped(p, sep) for p in path)
-            need(name not in out, "E_FIELD_COLLISION", "two values flatten to one name", field=name)
+            if name in out:
+                raise PlanError("E_FIELD_COLLISION", "two values flatten to one name", {"field": name})
             out[name] = v
 
     for k, x in value.items():
@@ -96,17 +101,21 @@ def flatten(value, sep: str = "_"):
 
 
 def unflatten(value, sep: str = "_"):
-    need(isinstance(value, dict), "E_TYPE_MISMATCH", "unflatten needs an object")
+    if not isinstance(value, dict):
+        raise PlanError("E_TYPE_MISMATCH", "unflatten needs an object")
     out: dict = {}
     for name, v in value.items():
         *above, last = split_name(name, sep)
-        need(all([*above, last]), "E_FIELD_COLLISION", "a name has an empty segment", field=name)
+        if not all([*above, last]):
+            raise PlanError("E_FIELD_COLLISION", "a name has an empty segment", {"field": name})
         at, made = out, []
         for p in above:
             at = at.setdefault(p, {})
             made.append(p)
-            need(isinstance(at, dict), "E_FIELD_COLLISION", "a name is both a value and an object", field=name)
-        need(last not in at, "E_FIELD_COLLISION", "two names meet in one place", field=name)
+            if not isinstance(at, dict):
+                raise PlanError("E_FIELD_COLLISION", "a name is both a value and an object", {"field": name})
+        if last in at:
+            raise PlanError("E_FIELD_COLLISION", "two names meet in one place", {"field": name})
         at[last] = v
     return out
 

@@ -9,7 +9,7 @@ from decimal import Decimal
 
 from pyspark.sql import types as T
 
-from quillframe.errors import PlanError, need
+from quillframe.errors import PlanError
 from quillframe.functions.kinds import INT64, normalised
 
 
@@ -72,7 +72,8 @@ class Kind:
             return Kind("integer", digits) if INT64[0] <= v <= INT64[1] else Kind("huge", digits)
         if isinstance(v, (float, Decimal)):
             v = normalised(v) if isinstance(v, float) else v
-            need(v.is_finite(), "E_NUMBER_INVALID", "numbers must be finite")
+            if not v.is_finite():
+                raise PlanError("E_NUMBER_INVALID", "numbers must be finite")
             _, digits, exponent = v.as_tuple()
             return Kind("decimal", max(len(digits) + exponent, 0), max(-exponent, 0))
         if isinstance(v, str):
@@ -83,7 +84,8 @@ class Kind:
             return Kind("date")
         if isinstance(v, dict):
             for k in v:
-                need(isinstance(k, str), "E_NON_STRING_KEY", "object keys must be strings")
+                if not isinstance(k, str):
+                    raise PlanError("E_NON_STRING_KEY", "object keys must be strings")
             return Kind("object", fields={k: Kind.of(x) for k, x in v.items()})
         if isinstance(v, (list, tuple)):
             element = Kind("null")
@@ -101,7 +103,8 @@ class Kind:
         if self.name in numbers and other.name in numbers:
             name = "decimal" if "decimal" in (self.name, other.name) else "huge" if "huge" in (self.name, other.name) else "integer"
             return Kind(name, max(self.whole, other.whole), max(self.scale, other.scale))
-        need(self.name == other.name, "E_TYPE_MISMATCH", f"{path} mixes {self.name} and {other.name}", field=path)
+        if self.name != other.name:
+            raise PlanError("E_TYPE_MISMATCH", f"{path} mixes {self.name} and {other.name}", {"field": path})
         if self.name == "object":
             fields = dict(self.fields)
             for k, x in other.fields.items():
@@ -114,7 +117,8 @@ class Kind:
     def spark(self) -> T.DataType:
         if self.name in ("huge", "decimal"):
             digits = max(self.whole + self.scale, 1)
-            need(digits <= 38, "E_NUMBER_PRECISION", "a number needs more than 38 digits", digits=digits)
+            if digits > 38:
+                raise PlanError("E_NUMBER_PRECISION", "a number needs more than 38 digits", {"digits": digits})
             return T.DecimalType(digits, self.scale)
         if self.name == "object":
             return T.StructType([T.StructField(k, v.spark()) for k, v in self.fields.items()]) if self.fields else T.MapType(T.StringType(), T.StringType())
@@ -141,7 +145,8 @@ def public(v):
     if isinstance(v, Decimal):
         return format(v, "f")
     if isinstance(v, float):
-        need(v == v and abs(v) != float("inf"), "E_NUMBER_INVALID", "numbers must be finite")
+        if not (v == v and abs(v) != float("inf")):
+            raise PlanError("E_NUMBER_INVALID", "numbers must be finite")
         return v
     if isinstance(v, (dt.date, dt.datetime, dt.time)):
         return v.isoformat()
