@@ -19,9 +19,12 @@ MIX_C = np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``; a private one only in a local session that names none (tests); on
+    a cluster that is an error, since executors do not share the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _FALLBACK:
             _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="quillframe-")
