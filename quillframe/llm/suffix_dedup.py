@@ -11,7 +11,10 @@ A byte goes if a ``min_len``-byte string over it also starts in a document with
   The LCP array of that order gives, at each offset, the windows that are equal and their smallest document.
 
 Copies inside one chunk of documents are resolved there before anything is sent, so a passage that a third of
-all documents share costs one record per chunk. Nothing is collected to the driver but one total of bytes.
+all documents share costs one record per chunk. An anchor at the edge of such a passage has another context in
+nearly every document: pass one counts the contexts of each anchor, and the records of an anchor with more than
+``CROWD`` of them are taken apart into their windows, which are dealt to buckets by the hash of their own bytes and
+cost one record per chunk each. Nothing is collected to the driver but one total of bytes.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from quillframe.llm.common import MIX_A, MIX_B, MIX_C, column_bytes, mix64, part
 GRAM = 16
 SHALLOW = 24
 BLOCK = 1 << 18
+CROWD = 4096
 CHUNKS, LEAST_CHUNK, MOST_CHUNK = 1 << 12, 8 << 20, 128 << 20
 _POS_BITS = np.uint64(22)
 _POS_MASK = np.uint64((1 << 22) - 1)
@@ -361,39 +365,88 @@ def _announce(min_len: int, buckets: int, id_at: int, text_at: int):
     def run(docs: pa.Table) -> pa.Table:
         chunk = docs.column("__qf_chunk")[0].as_py()
         data, starts, ends, ids, _ = _open(docs, id_at, text_at)
-        doc, _, _, _, key = chunk_anchors(data, starts, ends, min_len)
+        doc, place, lo, hi, key = chunk_anchors(data, starts, ends, min_len)
         order = np.argsort(key, kind="stable")
         k, d = key[order], ids[doc[order]]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(k) else np.zeros(0, bool)
+        further = np.zeros(len(first), np.int64)  # contexts of an anchor in this chunk, beyond one
+        run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
+        again = np.flatnonzero(several[run_of])
+        if len(again):
+            at = order[again]
+            h = _context_hash(data, lo[at], place[at] - lo[at], hi[at] - lo[at] + 1, min_len)
+            own = run_of[again]
+            by = np.lexsort((h, own))
+            own, h = own[by], h[by]
+            np.add.at(further, own[1:][(own[1:] == own[:-1]) & (h[1:] != h[:-1])], 1)
+        further = np.minimum(further, 0xFFFF)
         k = k[first]
         rows = []
         for b, at in _split(_bucket(k, buckets)):
             fp = (k[at] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            rows.append((b, np.array([chunk, len(at)], "<u4").tobytes() + fp.tobytes() + np.packbits(several[at]).tobytes()))
+            more = further[at]
+            bits = np.packbits(several[at]).tobytes() + np.packbits(more > 0).tobytes()
+            rows.append((b, np.array([chunk, len(at)], "<u4").tobytes() + fp.tobytes() + bits + more[more > 0].astype("<u2").tobytes()))
         return _sent(rows)
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """In a bucket: which announced fingerprints occur in two documents or more, told to each chunk that has them."""
-    bucket = table.column("__qf_to")[0].as_py()
-    chunks, prints, several = [], [], []
-    for blob in table.column("__qf_blob").to_pylist():
-        chunk, n = np.frombuffer(blob, "<u4", 2).tolist()
-        prints.append(np.frombuffer(blob, "<u4", n, 8))
-        several.append(np.unpackbits(np.frombuffer(blob, np.uint8, offset=8 + 4 * n), count=n).astype(bool))
-        chunks.append(np.full(n, chunk, np.int64))
-    fp, more, chunk = np.concatenate(prints), np.concatenate(several), np.concatenate(chunks)
-    order = np.argsort(fp, kind="stable")
-    fp, more, chunk = fp[order], more[order], chunk[order]
-    equal = fp[1:] == fp[:-1]
-    more = more.copy()
-    more[1:] |= equal
-    more[:-1] |= equal
-    fp, chunk = fp[more], chunk[more]
-    return _sent([(c, np.array([bucket], "<u4").tobytes() + fp[at].tobytes()) for c, at in _split(chunk)])
+def _answer(crowd: int):
+    """In a bucket: which announced fingerprints occur in two documents or more, told to each chunk that has them, and
+    which of those have more than ``crowd`` contexts beyond one per chunk."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("__qf_to")[0].as_py()
+        chunks, prints, several, contexts = [], [], [], []
+        for blob in table.column("__qf_blob").to_pylist():
+            chunk, n = np.frombuffer(blob, "<u4", 2).tolist()
+            prints.append(np.frombuffer(blob, "<u4", n, 8))
+            at, size = 8 + 4 * n, (n + 7) // 8
+            several.append(np.unpackbits(np.frombuffer(blob, np.uint8, size, at), count=n).astype(bool))
+            varied = np.unpackbits(np.frombuffer(blob, np.uint8, size, at + size), count=n).astype(bool)
+            further = np.zeros(n, np.int64)
+            further[varied] = np.frombuffer(blob, "<u2", offset=at + 2 * size)
+            contexts.append(further)
+            chunks.append(np.full(n, chunk, np.int64))
+        fp, more, chunk, further = (np.concatenate(x) for x in (prints, several, chunks, contexts))
+        order = np.argsort(fp, kind="stable")
+        fp, more, chunk, further = fp[order], more[order], chunk[order], further[order]
+        equal = fp[1:] == fp[:-1]
+        more[1:] |= equal
+        more[:-1] |= equal
+        fp, chunk, further = fp[more], chunk[more], further[more]
+        first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])) if len(fp) else np.zeros(0, np.int64)
+        crowded = np.repeat(np.add.reduceat(further, first) > crowd, np.diff(np.append(first, len(fp)))) if len(fp) else np.zeros(0, bool)
+        return _sent([(c // 2, np.array([bucket, c % 2], "<u4").tobytes() + fp[at].tobytes()) for c, at in _split(2 * chunk + crowded)])
+
+    return run
+
+
+def _context_hash(data: np.ndarray, lo: np.ndarray, left: np.ndarray, windows: np.ndarray, min_len: int) -> np.ndarray:
+    width, step = (2 * min_len - GRAM + 7) // 8 * 8, 1 << 16
+    parts = [slice(i, i + step) for i in range(0, len(lo), step)]
+    return np.concatenate([_row_hash(_padded(data, lo[p], windows[p] + min_len - 1, width), left[p], windows[p]) for p in parts] or [np.zeros(0, np.uint64)])
+
+
+def _settle(data: np.ndarray, doc_id: np.ndarray, lo: np.ndarray, left: np.ndarray, windows: np.ndarray, h: np.ndarray, min_len: int) -> np.ndarray:
+    """Which records of a chunk have the bytes and the place of a record of a smaller document; equal hashes are compared
+    in full."""
+    width, step = (2 * min_len - GRAM + 7) // 8 * 8, 1 << 16
+    order = np.lexsort((doc_id, h))
+    gone = np.zeros(len(order), bool)
+    if not len(order):
+        return gone
+    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    for i in range(0, len(order), step):
+        a, b = order[i : i + step], lead[i : i + step]
+        same = (left[a] == left[b]) & (windows[a] == windows[b]) & (doc_id[a] > doc_id[b])
+        a, b = a[same], b[same]
+        equal = (_padded(data, lo[a], windows[a] + min_len - 1, width) == _padded(data, lo[b], windows[b] + min_len - 1, width)).all(1)
+        gone[a[equal]] = True
+    return gone
 
 
 def _contexts(min_len: int, buckets: int, id_at: int, text_at: int):
@@ -403,39 +456,42 @@ def _contexts(min_len: int, buckets: int, id_at: int, text_at: int):
         chunk = docs.column("__qf_chunk")[0].as_py()
         data, starts, ends, ids, ref = _open(docs, id_at, text_at)
         doc, place, lo, hi, key = chunk_anchors(data, starts, ends, min_len)
-        shared = []
+        shared, crowded = [], []
         for blob in told.column("__qf_blob").to_pylist():
             v = np.frombuffer(blob, "<u4")
-            shared.append((np.uint64(v[0]) << np.uint64(32)) | v[1:].astype(np.uint64))
-        shared = np.sort(np.concatenate(shared))
-        mine = (_bucket(key, buckets).astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+            shared.append((np.uint64(v[0]) << np.uint64(32)) | v[2:].astype(np.uint64))
+            crowded.append(np.full(len(v) - 2, v[1] == 1))
+        shared, crowded = np.concatenate(shared), np.concatenate(crowded)
+        order = np.argsort(shared, kind="stable")
+        shared, crowded = shared[order], crowded[order]
+        bucket = _bucket(key, buckets)
+        mine = (bucket.astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
         at = np.minimum(np.searchsorted(shared, mine), len(shared) - 1)
         pick = np.flatnonzero(shared[at] == mine)
-        doc, place, lo, hi, key = doc[pick], place[pick], lo[pick], hi[pick], key[pick]
-        left, windows = place - lo, hi - lo + 1
-        width = (2 * min_len - GRAM + 7) // 8 * 8
-        rows, step = [], 1 << 16
-        settled: list[np.ndarray] = []
-        keep = np.ones(len(pick), bool)
+        doc, lo, bucket, crowded = doc[pick], lo[pick], bucket[pick], crowded[at[pick]]
+        left, windows = place[pick] - lo, hi[pick] - lo + 1
         # records of one chunk with equal bytes: the smallest document speaks, larger ones are settled here
-        h = np.concatenate([_row_hash(_padded(data, lo[i : i + step], windows[i : i + step] + min_len - 1, width), left[i : i + step], windows[i : i + step]) for i in range(0, len(pick), step)] or [np.zeros(0, np.uint64)])
-        order = np.lexsort((ids[doc], h))
-        new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(order) else np.zeros(0, bool)
-        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
-        for i in range(0, len(order), step):
-            a, b = order[i : i + step], lead[i : i + step]
-            same = (left[a] == left[b]) & (windows[a] == windows[b]) & (ids[doc[a]] > ids[doc[b]])
-            a, b = a[same], b[same]
-            equal = (_padded(data, lo[a], windows[a] + min_len - 1, width) == _padded(data, lo[b], windows[b] + min_len - 1, width)).all(1)
-            keep[a[equal]] = False
-            settled.append(a[equal])
-        done = np.concatenate(settled) if settled else np.zeros(0, np.int64)
-        if len(done):
-            own = np.rec.fromarrays([ref[doc[done]].astype("<u4"), (lo[done] - starts[doc[done]]).astype("<u4"), (hi[done] + min_len - starts[doc[done]]).astype("<u4")])
-            rows.append((-1 - chunk, pa.compress(b"".join(np.ascontiguousarray(own[c]).tobytes() for c in own.dtype.names), codec="zstd", asbytes=True) + np.array([len(done)], "<u4").tobytes()))
-        sel = np.flatnonzero(keep)
-        for b, at in _split(_bucket(key[sel], buckets)):
-            at = sel[at]
+        gone = _settle(data, ids[doc], lo, left, windows, _context_hash(data, lo, left, windows, min_len), min_len)
+        done = [(doc[gone], lo[gone], windows[gone])]
+        apart = np.flatnonzero(crowded & ~gone)
+        rest = np.flatnonzero(~crowded & ~gone)
+        if len(apart):  # windows of crowded anchors go by their own bytes, again one record each per chunk
+            many = windows[apart]
+            w_doc = np.repeat(doc[apart], many)
+            w_lo = np.arange(len(w_doc)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[apart], many)
+            w_left, one = np.repeat(left[apart] + lo[apart], many) - w_lo, np.ones(len(w_doc), np.int64)
+            h = _context_hash(data, w_lo, w_left, one, min_len)
+            gone = _settle(data, ids[w_doc], w_lo, w_left, one, h, min_len)
+            done.append((w_doc[gone], w_lo[gone], one[gone]))
+            own = [w_doc[~gone], w_lo[~gone], w_left[~gone], one[~gone], _bucket(mix64(h[~gone] ^ MIX_C), buckets)]
+            doc, lo, left, windows, bucket = (np.concatenate((x[rest], y)) for x, y in zip((doc, lo, left, windows, bucket), own, strict=True))
+        else:
+            doc, lo, left, windows, bucket = doc[rest], lo[rest], left[rest], windows[rest], bucket[rest]
+        rows = []
+        d, a, n = (np.concatenate(x) for x in zip(*done, strict=True))
+        if len(d):
+            rows.append((-1 - chunk, _spans_blob(*_merged(ref[d], a - starts[d], a + n + min_len - 1 - starts[d]))))
+        for b, at in _split(bucket):
             head = np.zeros(len(at), _HEAD)
             head["doc_id"], head["ref"], head["start"] = ids[doc[at]], ref[doc[at]], lo[at] - starts[doc[at]]
             head["left"], head["windows"] = left[at], windows[at]
@@ -537,7 +593,7 @@ def _cut(id_at: int, text_at: int, keep: int, schema: pa.Schema, in_text: bool):
     return run
 
 
-def _judged(docs: DataFrame, min_len: int, id_col: str, text_col: str, chunk_bytes: int | None, bucket_bytes: int | None) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, min_len: int, id_col: str, text_col: str, chunk_bytes: int | None, bucket_bytes: int | None, crowd: int) -> tuple[DataFrame, DataFrame]:
     """The documents dealt in chunks, and the removed ranges sent back to each chunk."""
     if min_len < GRAM + 8 or min_len > 128:
         raise ValueError(f"min_len must be from {GRAM + 8} to 128")
@@ -554,22 +610,22 @@ def _judged(docs: DataFrame, min_len: int, id_col: str, text_col: str, chunk_byt
         F.xxhash64(F.col(f"`{text_col}`")).alias("__qf_th"),
     ).repartition(parts, "__qf_chunk")
     announced = dealt.groupBy("__qf_chunk").applyInArrow(_announce(min_len, n_buckets, id_at, text_at), _SENT)
-    told = announced.groupBy("__qf_to").applyInArrow(_answer, _SENT)
+    told = announced.groupBy("__qf_to").applyInArrow(_answer(crowd), _SENT)
     sent = dealt.groupBy("__qf_chunk").cogroup(told.groupBy("__qf_to")).applyInArrow(_contexts(min_len, n_buckets, id_at, text_at), _SENT)
     return dealt, sent.groupBy("__qf_to").applyInArrow(_judge(min_len), _SENT)
 
 
-def cut_repeats(docs: DataFrame, *, min_len: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, min_len: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None, bucket_bytes: int | None = None, crowd: int = CROWD) -> DataFrame:
     """Every row of ``docs``, with all its columns, its text without the bytes that ``remove_repeats`` removes; a character
     that would lose some of its bytes goes whole, so that every text is valid. Defined cases are those of
     ``remove_repeats``, but a null text stays null, and columns of any name pass unchanged."""
     names = docs.columns
-    dealt, judged = _judged(docs, min_len, id_col, text_col, chunk_bytes, bucket_bytes)
+    dealt, judged = _judged(docs, min_len, id_col, text_col, chunk_bytes, bucket_bytes, crowd)
     cut = _cut(names.index(id_col), names.index(text_col), len(names), to_arrow_schema(docs.schema), True)
     return dealt.groupBy("__qf_chunk").cogroup(judged.groupBy("__qf_to")).applyInArrow(cut, docs.schema)
 
 
-def remove_repeats(docs: DataFrame, *, min_len: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, min_len: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None, bucket_bytes: int | None = None, crowd: int = CROWD) -> DataFrame:
     """Every row of ``docs`` with ``kept_bytes`` (what stays of its text) and ``spans`` (the byte ranges removed).
 
     A byte is removed if some ``min_len``-byte string over it also starts in a row with a smaller id; strings are
@@ -577,12 +633,13 @@ def remove_repeats(docs: DataFrame, *, min_len: int = 50, id_col: str = "doc_id"
     one id do not remove each other's bytes; a null id counts as larger than all ids; an empty table gives an empty
     table; input columns named like an added column are replaced. ``chunk_bytes`` and ``bucket_bytes`` are the text
     a task holds when it scans documents and the text whose anchors meet in one bucket; they follow from the total
-    unless given: 8 MB a chunk up to 32 GB of text, then a 4096th of it up to 128 MB, so that blobs stay few and large.
+    unless given: 8 MB a chunk up to 32 GB of text, then a 4096th of it up to 128 MB, so that blobs stay few and large. ``crowd`` is the number of contexts
+    from which an anchor's records are split by window; it changes no result.
     """
     docs = without(docs, "kept_bytes", "spans")
     names = docs.columns
     id_at, text_at = names.index(id_col), names.index(text_col)
-    dealt, judged = _judged(docs, min_len, id_col, text_col, chunk_bytes, bucket_bytes)
+    dealt, judged = _judged(docs, min_len, id_col, text_col, chunk_bytes, bucket_bytes, crowd)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     out = T.StructType([*docs.schema.fields, T.StructField("kept_bytes", T.BinaryType()), T.StructField("spans", span)])
     arrow = to_arrow_schema(out)

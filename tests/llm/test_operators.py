@@ -69,9 +69,31 @@ def test_suffix_dedup_on_few_letters(spark):
     for i in range(100):
         a = rnd.randrange(200)
         rows.append((i, "".join(rnd.choice("abc") for _ in range(rnd.randrange(60))) + base[a : a + rnd.randrange(30, 120)] + "a" * rnd.choice([0, 0, 90])))
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=1500, bucket_bytes=700).collect()
     want = brute.repeats(rows)
-    assert all((hashlib.sha256(bytes(r.kept_bytes)).hexdigest(), len(r.spans)) == (want[r.doc_id][4], want[r.doc_id][3]) for r in got)
+    for crowd in (0, 5, suffix_dedup.CROWD):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=1500, bucket_bytes=700, crowd=crowd).collect()
+        assert len(got) == len(rows)
+        assert all((hashlib.sha256(bytes(r.kept_bytes)).hexdigest(), len(r.spans)) == (want[r.doc_id][4], want[r.doc_id][3]) for r in got)
+
+
+def test_suffix_dedup_splits_the_edges_of_common_passages(spark):
+    """A passage in every document, each time in another context: no bucket holds many records of one anchor."""
+    rnd = random.Random(9)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(120))
+    rows = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(40)) + passage + "".join(rnd.choice("abcdefgh ") for _ in range(40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.repeats(rows)
+    columns = {"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "__qf_th": [r[0] for r in rows]}
+    table = pa.table(columns).append_column("__qf_chunk", pa.array([0] * len(rows), pa.int32()))
+    told = suffix_dedup._announce(50, 4096, 0, 1)(table)
+    largest = []
+    for crowd in (10, suffix_dedup.CROWD):
+        got = suffix_dedup.remove_repeats(df, chunk_bytes=6000, bucket_bytes=3000, crowd=crowd).collect()
+        assert {r.doc_id: hashlib.sha256(bytes(r.kept_bytes)).hexdigest() for r in got} == {i: w[4] for i, w in want.items()}
+        answers = [suffix_dedup._answer(crowd)(told.filter(pa.compute.equal(told["__qf_to"], b))) for b in told["__qf_to"].unique()]
+        sent = suffix_dedup._contexts(50, 4096, 0, 1)(table, pa.concat_tables(answers))
+        largest.append(max(len(suffix_dedup._unpack(x[4:])[0]) for b, x in zip(sent["__qf_to"].to_pylist(), sent["__qf_blob"].to_pylist(), strict=True) if b >= 0))
+    assert largest[0] < 30 and largest[1] > 250, largest
 
 
 def test_cut_repeats_keeps_whole_characters(spark, odd, none):
