@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe import catalogue_verbs  # noqa: F401  (adds its queries to the registry)
 from quillframe.frame import Frame
 from quillframe.operators import groups, rows
 from quillframe.plans import checks, differ, profile
 from quillframe.plans.engine import Engine
+from quillframe.registry import ORACLE_SQL, QUERIES
+from quillframe.registry import code as _code
+from quillframe.registry import folder as _folder
 from quillframe.sources import sinks, trees
 from quillframe.sources.readers import delimited, jsonl, parquet
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def _tables(spark: SparkSession, sf_dir: str, names: dict[str, str] | list[str]) -> dict[str, Frame]:
@@ -31,16 +30,6 @@ def _plan(name: str, tables, steps: list[dict], sql: str) -> None:
     QUERIES[name], ORACLE_SQL[name] = run, sql
 
 
-def _code(name: str, sql: str | None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return keep
-
-
 _F = lambda f: {"field": f}
 _V = lambda v: {"value": v}
 _round = lambda f, d=2: {"op": "derive", "field": f, "expr": {"round": [_F(f), d]}}
@@ -243,16 +232,6 @@ def _profile(spark, sf_dir):
     return profile.null_counts(Engine(spark).over(_tables(spark, sf_dir, ["customer", "orders"]), [*_NULLS, _select("c_custkey", "o_orderkey")]))
 
 
-def _folder(spark) -> str:
-    """A fresh folder all executors see; the temporary folder only in a local session that names none."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
-
-
 @_code("parquet_roundtrip", "select p_partkey, p_name, p_size, p_retailprice from part")
 def _rt_parquet(spark, sf_dir):
     frame = Engine(spark).over(_tables(spark, sf_dir, ["part"]), [_select("p_partkey", "p_name", "p_size", "p_retailprice")])
