@@ -141,7 +141,7 @@ _EMPTY = [{"op": "limit", "count": 0}]
   ('output exists', 'E_OUTPUT_EXISTS'), ('no folder', 'E_OUTPUT_DIRECTORY'), ('outside', 'E_PATH_OUTSIDE_WORKSPACE'), ('network', 'E_NETWORK_FORBIDDEN'),
   ('no file', 'E_SOURCE_NOT_FOUND'), ('empty as json', 'E_OUTPUT_SCHEMA_LOSS'), ('tree as csv', 'E_OUTPUT_INVALID'), ('reference without output', 'E_OUTPUT_REQUIRED'),
   ('unknown key', 'E_PLAN_INVALID'), ('bad condition', 'E_CONDITION_INVALID'), ('bad expression', 'E_EXPRESSION_INVALID'), ('no field', 'E_FIELD_NOT_FOUND'),
-  ('limit too high', 'E_LIMIT_INVALID'), ('rows over budget', 'E_ROW_LIMIT'), ('key types', 'E_TYPE_MISMATCH'), ('path not found', 'E_PATH_NOT_FOUND'),
+  ('limit too high', 'E_LIMIT_INVALID'), ('rows over budget', 'E_ROW_LIMIT'), ('items over budget', 'E_ITEM_LIMIT'), ('key types', 'E_TYPE_MISMATCH'), ('path not found', 'E_PATH_NOT_FOUND'),
   ('step on a tree', 'E_UNKNOWN_OPERATION'), ('assertion', 'E_ASSERTION_FAILED'), ('schema', 'E_SCHEMA_FAILED')) as c(case_name, error)""")
 def _refusals(spark, sf_dir):
     """Plans that must be refused, each with its stable code."""
@@ -165,6 +165,7 @@ def _refusals(spark, sf_dir):
         "no field": _plan(table, [_fields("nope")]),
         "limit too high": _plan(table, _KEEP, limits={"max_rows": 10**12}),
         "rows over budget": _plan(table, where({"field": "k", "gt": 0}), limits={"max_rows": 2}),
+        "items over budget": _plan(table, where({"field": "k", "gt": 0}), limits={"max_items": 11}),
         "key types": _plan({**table, "m": {"inline": [{"k": "1"}]}}, [{"op": "join", "left": "n", "right": "m", "on": [["k", "k"]]}]),
         "path not found": _plan(tree, [{"op": "delete", "path": "a.c"}]),
         "step on a tree": _plan(tree, _KEEP),

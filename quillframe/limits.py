@@ -24,9 +24,19 @@ BOUNDS = {
 _LEAST_RESPONSE = 256
 
 
+def items_of(value) -> int:
+    """How many values a JSON value holds: itself and all below."""
+    n, pending = 0, [value]
+    while pending:
+        v = pending.pop()
+        n += 1
+        pending.extend(v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())
+    return n
+
+
 @dataclass(frozen=True)
 class Limits:
-    """``enforce`` False lifts the byte and row budgets (cluster use); memory and temp space are Spark's settings."""
+    """``enforce`` False lifts the byte, row and item budgets (cluster use); memory and temp space are Spark's settings."""
 
     values: dict
     enforce: bool = True
@@ -53,3 +63,8 @@ class Limits:
         if values["max_response_bytes"] < _LEAST_RESPONSE:
             raise PlanError("E_LIMIT_INVALID", "max_response_bytes is too small", {"minimum": _LEAST_RESPONSE})
         return Limits(values, enforce)
+
+    def hold(self, items: int, what: str) -> None:
+        """Refuse what has more items than the budget allows."""
+        if self.enforce and items > self.max_items:
+            raise PlanError("E_ITEM_LIMIT", f"{what} exceeds the item budget", {"items": items, "maximum": self.max_items})

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillframe.errors import PlanError, translated
 from quillframe.frame import Frame, exact, quoted
-from quillframe.limits import Limits
+from quillframe.limits import Limits, items_of
 from quillframe.operators import groups, rows, shapes
 from quillframe.plans import adapter, checks, differ, model, profile
 from quillframe.sources import sinks, trees
@@ -110,10 +110,10 @@ class Engine:
         def watched(name: str, frame: Frame, figures: list) -> Frame:
             return replace(frame, df=frame.df.observe(f"{tag}:{name}", *figures))
 
-        rows_of = lambda names: [F.count(F.lit(1)).alias("n"), *[F.count(quoted(c)).alias(f"forced{i}") for i, c in enumerate(names)]]
+        rows_of = lambda f, names: [F.count(F.lit(1)).alias("n"), *profile.item_figures(f), *[F.count(quoted(c)).alias(f"forced{i}") for i, c in enumerate(names)]]
         for name in sources:
             d = data[name]
-            seen[name] = replace(d, frame=watched(name, d.frame, rows_of([]))) if d.kind == "table" else d
+            seen[name] = replace(d, frame=watched(name, d.frame, rows_of(d.frame, []))) if d.kind == "table" else d
         asked: dict[str, tuple[Frame, list]] = {}
         for s in steps:
             if s.data.kind != "table":
@@ -130,7 +130,7 @@ class Engine:
                 asked[f"in:{s.id}"] = (data[s.inputs[0]].frame, figures)
                 inputs[s.inputs[0]] = replace(first, frame=watched(f"in:{s.id}", first.frame, figures))
             out = self.apply(s.spec, inputs, s.inputs[0], sources)[1]
-            seen[s.id] = replace(out, frame=watched(s.id, out.frame, rows_of(self._forced(s.spec))))
+            seen[s.id] = replace(out, frame=watched(s.id, out.frame, rows_of(out.frame, self._forced(s.spec))))
         above = {s.id: s for s in steps}
 
         def reached(name: str) -> set[str]:
@@ -159,10 +159,29 @@ class Engine:
                 if label in todo:
                     got[label] = {c: row.get(i) for i, c in enumerate(row.schema().fieldNames())}
             for label in sorted(todo - set(got)):
-                frame, figures = asked[label] if label in asked else (data[label].frame, rows_of(self._forced(above[label].spec) if label in above else []))
+                frame, figures = asked[label] if label in asked else (data[label].frame, rows_of(data[label].frame, self._forced(above[label].spec) if label in above else []))
                 got[label] = frame.df.agg(*figures).first().asDict()
         return got
 
+    @staticmethod
+    def _held(limits: Limits, data: dict[str, Data], steps: list[Step], sources: list[str], figures: dict[str, dict]) -> None:
+        """The item budget: sources share one, every step's result has its own. Tables that were not counted are left out."""
+        items = lambda name: (data[name].items if data[name].items is not None else items_of(data[name].value) if data[name].kind == "tree" else profile.table_items(data[name].frame, figures[name]) if name in figures else 0)
+        if limits.enforce:
+            limits.hold(sum(items(name) for name in sources), "what the sources hold together")
+            for s in steps:
+                limits.hold(items(s.id), f"the result of step {s.id!r}")
+
+    @staticmethod
+    def _counted(limits: Limits, *loaded: Data) -> None:
+        """The item budget of a verb's sources, tables in one pass each."""
+        if not limits.enforce:
+            return
+        total = 0
+        for d in loaded:
+            total += d.items if d.items is not None else profile.table_items(d.frame, d.frame.df.agg(F.count(F.lit(1)).alias("n"), *profile.item_figures(d.frame)).first().asDict())
+            limits.hold(total, "what the sources hold together")
+
     def run_steps(self, plan: dict, limits: Limits) -> tuple[dict[str, Data], list[Step]]:
         if len(plan["sources"]) > limits.max_sources:
             raise PlanError("E_SOURCE_LIMIT", "too many sources")
@@ -257,6 +276,7 @@ class Engine:
                 raise PlanError("E_REQUEST_INVALID", "mappings need a target schema")
             spec = model.checked(model.source, source, "the source is invalid")
             data = load(self.spark, spec, lim, self.root)
+            self._counted(lim, data)
             if data.kind == "table":
                 shape, sample = profile.table_shape(data.frame), profile.table_sample(data.frame, sample_rows)
             else:
@@ -328,6 +348,7 @@ class Engine:
             most = max((f.get("n", 0) for f in figures.values()), default=0)
             if not (not limits.enforce or most <= limits.max_rows):
                 raise PlanError("E_ROW_LIMIT", "a table exceeds the row budget", {"rows": most})
+            self._held(limits, data, steps, list(spec["sources"]), figures)
             if "schema" in spec:
                 found = checks.validate_schema(last.kind, last.frame, last.value, spec["schema"])
                 if not (found["valid"]):
@@ -370,6 +391,7 @@ class Engine:
                 raise PlanError("E_VALIDATION_REQUIRED", "a schema or assertions are needed")
             wanted = model.checked(model.many(model.assertion), assertions or [], "assertions are invalid")
             data = load(self.spark, model.checked(model.source, source, "the source is invalid"), lim, self.root)
+            self._counted(lim, data)
             table = data.kind == "table"
             by_schema = checks.validate_schema(data.kind, data.frame, data.value, schema) if schema is not None else None
             found = checks.on_table(data.frame, wanted) if table else checks.on_tree(data.value, wanted)
@@ -383,6 +405,7 @@ class Engine:
     def diff(self, left: dict, right: dict, key_fields: list[str] | None = None, sample_rows: int = 5, limits: dict | None = None) -> dict:
         def work(lim):
             a, b = (load(self.spark, model.checked(model.source, s, "the source is invalid"), lim, self.root) for s in (left, right))
+            self._counted(lim, a, b)
             out = {"status": "ok", "operation": "diff"}
             if a.kind != b.kind:
                 return out | {"identical": False, "kind_change": {"left": a.kind, "right": b.kind}, "row_comparison": "not_comparable"}

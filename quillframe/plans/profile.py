@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.frame import Frame, quoted
 from quillframe.sources.trees import pointer
@@ -12,6 +13,33 @@ from quillframe.sources.values import Kind, public
 FIELD_CAP, SET_CAP, DEPTH_CAP, CHUNK = 1000, 32, 8, 1000
 
 
+def _items(c: Column, kind: T.DataType) -> Column:
+    """How many values a column's value holds, itself included; a null is one."""
+    if isinstance(kind, T.StructType):
+        inner = [_items(c.getField(f.name), f.dataType) for f in kind.fields]
+    elif isinstance(kind, T.ArrayType):
+        flat = not isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType))
+        inner = [F.size(c) if flat else F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _items(x, kind.elementType))]
+    elif isinstance(kind, T.MapType):
+        inner = [_items(F.map_values(c), T.ArrayType(kind.valueType)) - 1]
+    else:
+        return F.lit(1).cast("long")
+    return F.when(c.isNull(), 1).otherwise(sum(inner, F.lit(1).cast("long")))
+
+
+def item_figures(frame: Frame) -> list[Column]:
+    """What has to be summed to know a table's items beside its row count: nothing if no column is nested."""
+    kinds = [(c, frame.df.schema[c].dataType) for c in frame.columns]
+    nested = [(c, k) for c, k in kinds if isinstance(k, (T.StructType, T.ArrayType, T.MapType))]
+    return [F.sum(sum((_items(quoted(c), k) for c, k in nested), F.lit(0).cast("long")) - len(nested)).alias("items")] if nested else []
+
+
+def table_items(frame: Frame, figures: dict) -> int:
+    """Rows, their cells and what is nested in those; the columns of a table without rows."""
+    width = len(frame.columns)
+    return figures["n"] * (width + 1) + (figures.get("items") or 0) if figures["n"] else width
+
+
 def null_counts(frame: Frame) -> DataFrame:
     """One row: ``rows`` and ``nulls_<column>``, in one scan that reads validity only."""
     return frame.df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(quoted(c).isNull()).alias(f"nulls_{c}") for c in frame.columns])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from quillframe.errors import PlanError
 from quillframe.frame import HIDDEN, Frame, Key, hidden, quoted
 from quillframe.functions.kinds import normalised
-from quillframe.limits import Limits
+from quillframe.limits import Limits, items_of
 from quillframe.sources.selectors import selected
 from quillframe.sources.values import Kind, coerced, parse_json, parse_yaml
 
@@ -35,6 +35,7 @@ class Data:
     value: object = None
     format: str = "inline"
     bytes: int = 0
+    items: int | None = None  # of JSON, YAML and inline values, known once parsed
 
 
 def format_of(path: str, given: str | None) -> str:
@@ -237,6 +238,12 @@ def delimited(spark: SparkSession, path: str, sep: str) -> Frame:
     return Frame(raw.select(*[quoted(h).cast(kinds[h]).alias(h) for h in header], *[k.name for k in keys]), keys)
 
 
+def _budgeted(data: Data, value, limits: Limits) -> Data:
+    items = items_of(value)
+    limits.hold(items, "the source")
+    return replace(data, items=items)
+
+
 def load(spark: SparkSession, spec: dict, limits: Limits, root: str | None = None) -> Data:
     """A checked source. Selectors apply to JSON, YAML and inline values only."""
     select, kind = spec.get("select"), spec.get("kind")
@@ -246,7 +253,7 @@ def load(spark: SparkSession, spec: dict, limits: Limits, root: str | None = Non
             value = parse_json(value) if spec["format"] == "json" else parse_yaml(value)
         value = normalised(value)
         _depth(value, limits.max_depth)
-        return promoted(spark, selected(value, select) if select else value, kind)
+        return _budgeted(promoted(spark, value := selected(value, select) if select else value, kind), value, limits)
     path = confined(spec["path"], root)
     carrier = format_of(str(path), spec.get("format"))
     if carrier == "parquet" and path.is_dir():
@@ -261,8 +268,8 @@ def load(spark: SparkSession, spec: dict, limits: Limits, root: str | None = Non
         raw = path.read_text(encoding="utf-8-sig")
         value = parse_json(raw) if carrier == "json" else parse_yaml(raw)
         _depth(value, limits.max_depth)
-        data = promoted(spark, selected(value, select) if select else value, kind)
-        return Data(data.kind, data.frame, data.value, carrier, size)
+        data = _budgeted(promoted(spark, value := selected(value, select) if select else value, kind), value, limits)
+        return replace(data, format=carrier, bytes=size)
     if select is not None:
         raise PlanError("E_SOURCE_INVALID", f"{carrier} sources take no selector")
     if kind == "tree":
