@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import copy
+import json
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
@@ -25,59 +25,75 @@ def _missing(path: str) -> PlanError:
     return PlanError("E_PATH_NOT_FOUND", f"path {path!r} does not exist", {"path": path})
 
 
-def set_(value, path: str, new, create: bool = False):
+def _fresh(value):
+    """A copy of a JSON value whose objects and arrays may be edited."""
+    if isinstance(value, dict):
+        return {k: _fresh(v) for k, v in value.items()}
+    return [_fresh(v) for v in value] if isinstance(value, list) else value
+
+
+def _holds(at, part) -> bool:
+    if isinstance(part, int):
+        return isinstance(at, list) and part < len(at)
+    return isinstance(at, dict) and part in at
+
+
+def _setter(path: str, new, create: bool):
     parts = _path(path)
     if not parts:
-        return new
-    value = copy.deepcopy(value)
-    at = value
-    for i, p in enumerate(parts):
-        last = i == len(parts) - 1
-        if isinstance(p, int):
-            if not isinstance(at, list) or p >= len(at):
-                raise _missing(path)
-            if last:
-                at[p] = new
-            at = at[p]
-        else:
-            if not isinstance(at, dict) or (p not in at and not create):
-                raise _missing(path)
-            if last:
-                at[p] = new
-            elif p not in at:
+        return lambda value: _fresh(new)
+    *above, last = parts
+
+    def edit(value):
+        at = value
+        for p in above:
+            if not _holds(at, p):
+                if not (create and isinstance(p, str) and isinstance(at, dict)):
+                    raise _missing(path)
                 at[p] = {}
             at = at[p]
-    return value
+        if not _holds(at, last) and not (create and isinstance(last, str) and isinstance(at, dict)):
+            raise _missing(path)
+        at[last] = _fresh(new)
+        return value
+
+    return edit
 
 
-def delete(value, path: str):
+def _deleter(path: str):
     parts = _path(path)
-    if not bool(parts):
+    if not parts:
         raise PlanError("E_STEP_INVALID", "the root cannot be deleted")
-    value = copy.deepcopy(value)
-    at = value
-    for p in parts[:-1]:
-        if not (isinstance(at, list) and isinstance(p, int) and p < len(at)) and not (isinstance(at, dict) and p in at):
+
+    def edit(value):
+        at = value
+        for p in parts[:-1]:
+            if not _holds(at, p):
+                raise _missing(path)
+            at = at[p]
+        if not _holds(at, parts[-1]):
             raise _missing(path)
-        at = at[p]
-    p = parts[-1]
-    if not (isinstance(at, list) and isinstance(p, int) and p < len(at)) and not (isinstance(at, dict) and p in at):
-        raise _missing(path)
-    del at[p]
-    return value
+        del at[parts[-1]]
+        return value
 
+    return edit
 
-def merge(value, other: dict, deep: bool = True):
-    if not isinstance(value, dict):
-        raise PlanError("E_TYPE_MISMATCH", "merge needs an object")
 
-    def both(a, b):
-        out = dict(a)
+def _merger(other: dict, deep: bool):
+    def fold(a, b):
         for k, v in b.items():
-            out[k] = both(out[k], v) if deep and isinstance(out.get(k), dict) and isinstance(v, dict) else v
-        return out
+            if deep and isinstance(a.get(k), dict) and isinstance(v, dict):
+                fold(a[k], v)
+            else:
+                a[k] = _fresh(v)
+
+    def edit(value):
+        if not isinstance(value, dict):
+            raise PlanError("E_TYPE_MISMATCH", "merge needs an object")
+        fold(value, other)
+        return value
 
-    return both(value, other)
+    return edit
 
 
 def flatten(value, sep: str = "_"):
@@ -120,21 +136,26 @@ def unflatten(value, sep: str = "_"):
     return out
 
 
-def applied(value, step: dict):
+def compiled(step: dict):
+    """A tree step as a function of a value that it may edit in place; its path is parsed once."""
     op = step["op"]
     if op == "set":
-        return set_(value, step["path"], normalised(step["value"]), step.get("create", False))
+        return _setter(step["path"], normalised(step["value"]), step.get("create", False))
     if op == "delete":
-        return delete(value, step["path"])
+        return _deleter(step["path"])
     if op == "merge":
-        return merge(value, normalised(step["value"]), step.get("deep", True))
-    if op == "flatten":
-        return flatten(value, step.get("separator", "_"))
-    if op == "unflatten":
-        return unflatten(value, step.get("separator", "_"))
+        return _merger(normalised(step["value"]), step.get("deep", True))
+    if op in ("flatten", "unflatten"):
+        whole, sep = flatten if op == "flatten" else unflatten, step.get("separator", "_")
+        return lambda value: whole(value, sep)
     raise PlanError("E_UNKNOWN_OPERATION", f"{op!r} does not apply to a tree", {"op": op})
 
 
+def applied(value, step: dict):
+    """The value after a step; the one given stays as it is."""
+    return compiled(step)(_fresh(value))
+
+
 def pointer(path: list) -> str:
     return "".join("/" + str(p).replace("~", "~0").replace("/", "~1") for p in path)
 
@@ -166,16 +187,20 @@ def changes(old, new) -> dict:
 
 def edited_column(column, steps: list[dict]):
     """A string column of JSON documents with tree steps applied to each, in Arrow batches; null stays null."""
+    edits = [compiled(s) for s in steps]
+    plain = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), allow_nan=False).encode
+
     @pandas_udf("string")
     def edit(texts: pd.Series) -> pd.Series:
         def one(t):
-            if t is None:
-                return None
             value = parse_json(t)
-            for s in steps:
-                value = applied(value, s)
-            return dumps(value)
-
-        return texts.map(one, na_action="ignore")
+            for e in edits:
+                value = e(value)
+            try:
+                return plain(value)
+            except (TypeError, ValueError):  # exact decimals
+                return dumps(value)
+
+        return pd.Series([None if t is None else one(t) for t in texts], dtype=object)
 
     return edit(column)

@@ -24,10 +24,13 @@ def _constant(name):
     raise PlanError("E_PARSE", f"{name} is not JSON")
 
 
+_DECODER = json.JSONDecoder(parse_float=Decimal, object_pairs_hook=_no_twins, parse_constant=_constant)
+
+
 def parse_json(text: str):
     """Exact decimals, no duplicate keys, no NaN."""
     try:
-        return json.loads(text, parse_float=Decimal, object_pairs_hook=_no_twins, parse_constant=_constant)
+        return _DECODER.decode(text)
     except (json.JSONDecodeError, RecursionError) as e:
         raise PlanError("E_PARSE", f"not valid JSON: {e}") from None
 
