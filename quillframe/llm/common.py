@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
@@ -61,6 +61,24 @@ def parts_for(spark: SparkSession, total_bytes: int, per_part: int) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_bytes / per_part))
 
 
+def with_sums_before(df: DataFrame, by: list[str], group: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with column ``name``: the sum of ``value`` over the rows before each in ``order``, for each key ``by``.
+
+    ``group`` cuts that order into runs and rises with it. Runs are summed first and prefix sums taken over them, so that
+    no task sorts a whole key: one holds a run, or one row for each run of a key. Null keys are a key of their own.
+    """
+    cut = df.withColumn("__qf_run", group)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = cut.groupBy(*by, "__qf_run").agg(F.sum(value).alias("__qf_sum"))
+    runs = runs.withColumn("__qf_base", F.coalesce(F.sum("__qf_sum").over(earlier(Window.partitionBy(*by).orderBy("__qf_run"))), F.lit(0))).drop("__qf_sum")
+    inside = earlier(Window.partitionBy(*by, "__qf_run").orderBy(*order))
+    cut = cut.withColumn("__qf_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    keys = [*by, "__qf_run"]
+    runs = runs.select(*[F.col(c).alias(f"__qf_k{i}") for i, c in enumerate(keys)], "__qf_base")
+    joined = cut.join(runs, [F.col(c).eqNullSafe(F.col(f"__qf_k{i}")) for i, c in enumerate(keys)])
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__qf_base") + F.col("__qf_inside")).cast("long").alias(name))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names would clash (case-insensitively) with what an operator adds."""
     low = {n.lower() for n in names}

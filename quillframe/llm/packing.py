@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import column_bytes, materialise, work_dir
+from quillframe.llm.common import column_bytes, materialise, with_sums_before, work_dir
 from quillframe.llm.encoding import encoder
 from quillframe.llm.files import create, fresh, opened
 
@@ -235,8 +235,7 @@ def pack(docs: DataFrame, *, vocabulary: str, end_id: int = 0, length: int = 102
     weights = weights / weights.sum() if rows else weights
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     windows = max(1, min(file_tokens // length, max(64, -(-int(totals.sum()) // (3 * n * length)))))
-    mine = Window.partitionBy("source").orderBy("part", "batch").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("before", F.coalesce(F.sum("n_tokens").over(mine), F.lit(0)))
+    placed = with_sums_before(parts, ["source"], F.shiftright("part", 30), ["part", "batch"], "n_tokens", "before")  # runs of 1024 tasks
     dealt = placed.mapInArrow(_dealt(sources, totals, weights, windows * length), _DEALT)
     plan = dealt.repartition(n, "task").groupBy("task").agg(F.collect_list(F.struct("path", "batch", "source", "before")).alias("batches"))
     return plan.mapInArrow(_pack(sources, totals, weights, windows, length, quantum), PIECES)

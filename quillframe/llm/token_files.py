@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise, parts_for, text_bytes, work_dir
+from quillframe.llm.common import materialise, parts_for, text_bytes, with_sums_before, work_dir
 from quillframe.llm.encoding import encoder
 from quillframe.llm.files import create, fresh, opened
 
@@ -135,8 +135,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: ``doc_id``, ``start`` (ids before it in all files), ``n_tokens``, ``ids_crc32``."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
+    placed = with_sums_before(manifest, [], F.shiftright("part", 12), ["part"], "n_tokens", "start")
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(n, "part").select("path", "docs_path", "start").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
