@@ -35,16 +35,28 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def registered_of(host: Column) -> Column:
-    """Last two labels (the whole host where it has fewer)."""
-    return F.substring_index(host, ".", -2)
+def suffix_of(host: Column, suffixes=()) -> Column:
+    """The longest of ``suffixes`` (names of several labels, such as ``co.uk``) that a host ends with, else its last label."""
+    found = F.substring_index(host, ".", -1)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        tail = F.substring_index(host, ".", -n)
+        found = F.when(tail.isin([s for s in suffixes if s.count(".") + 1 == n]), tail).otherwise(found)
+    return found
 
 
-def reputations(outcomes: DataFrame, *, strength: float = 10.0, z: float = 1.0) -> DataFrame:
+def registered_of(host: Column, suffixes=()) -> Column:
+    """The suffix and the label before it (the whole host where it has no more)."""
+    out = F.substring_index(host, ".", -2)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        out = F.when(F.substring_index(host, ".", -n).isin([s for s in suffixes if s.count(".") + 1 == n]), F.substring_index(host, ".", -n - 1)).otherwise(out)
+    return out
+
+
+def reputations(outcomes: DataFrame, *, suffixes=(), strength: float = 10.0, z: float = 1.0) -> DataFrame:
     """``host, labelled, bad, posterior, bound`` for each host of ``outcomes(host, bad)``; ``bad`` is 0 or 1, nulls are
-    pages without a label."""
+    pages without a label. ``suffixes`` are the public suffixes of several labels; others are the last label."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"))
-    hosts = hosts.withColumn("domain", registered_of(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
+    hosts = hosts.withColumn("domain", registered_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
     base = suffixes.agg((F.coalesce(F.sum("sk"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2.0)).scalar()
@@ -58,7 +70,7 @@ def reputations(outcomes: DataFrame, *, strength: float = 10.0, z: float = 1.0)
     return up.select("host", F.col("n").alias("labelled"), F.col("k").alias("bad"), mean.alias("posterior"), bound.alias("bound"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame | None = None, *, rules=RULES, strength: float = 10.0, z: float = 1.0, limit: float = 0.25, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame | None = None, *, rules=RULES, suffixes=(), strength: float = 10.0, z: float = 1.0, limit: float = 0.25, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per page: ``id_col, host, path, rule, verdict, posterior, bound``.
 
     ``labels(page_id, bad)`` has page outcomes; several for a page count by their worst. Defined cases: a null url or one
@@ -73,7 +85,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, *, rules=RULES
     else:
         worst = labels.groupBy("page_id").agg(F.max("bad").alias("bad"))
         outcomes = cut.select("id", "host").join(worst, F.col("id") == F.col("page_id"), "left").select("host", "bad")
-    known = reputations(outcomes, strength=strength, z=z).select(F.col("host").alias("__qf_host"), "posterior", "bound")
+    known = reputations(outcomes, suffixes=suffixes, strength=strength, z=z).select(F.col("host").alias("__qf_host"), "posterior", "bound")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = cut.join(known, F.col("host") == F.col("__qf_host"), "left").drop("__qf_host")
     method = F.when(F.col("bound") > limit, F.lit("block")).otherwise(F.lit("allow"))
